@@ -42,12 +42,12 @@ DEFAULT_PRIORS = DurationPriors(1.0, 1.0, -0.7, 0.4)
 class Grid:
     """Coarse ranges and the refinement that follows."""
 
-    mu: tuple[float, float, int] = (0.0, 4.0, 41)
-    log_sigma: tuple[float, float, int] = (-1.6, 0.6, 31)
-    zooms: int = 2
-    zoom_factor: int = 8
-    zoom_half: int = 10
-    final_half: int = 18
+    mu: tuple[float, float, int] = (0.0, 4.0, 21)
+    log_sigma: tuple[float, float, int] = (-1.6, 0.6, 16)
+    zooms: int = 3
+    zoom_factor: int = 4
+    zoom_half: int = 5
+    final_half: int = 16
     steps_per_sd: int = 3
 
 

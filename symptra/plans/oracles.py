@@ -85,6 +85,11 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
+def _kept(name: str) -> str:
+    """Views that are costly and read more than once are evaluated once."""
+    return "MATERIALIZED " if re.search(r"_(terms|node.|lp.|mode.)$", name) else ""
+
+
 def oracle(name: str, sql: str, doubles: list[str] | None = None) -> None:
     """Register a query: prefix the views it needs, round its doubles."""
     needed: list[str] = []
@@ -97,7 +102,7 @@ def oracle(name: str, sql: str, doubles: list[str] | None = None) -> None:
                     needed.append(other)
 
     visit(sql)
-    with_clause = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" if needed else ""
+    with_clause = "WITH " + ",\n".join(f"{n} AS {_kept(n)}({CTES[n]})" for n in needed) + "\n" if needed else ""
     if doubles:
         rounded = ", ".join(f"round({c}, 6) + 0.0E0 AS {c}" for c in doubles)
         sql = f"SELECT * REPLACE ({rounded}) FROM ({sql})"
@@ -138,14 +143,14 @@ cte(
   {AGE_CASE} AS age_group, rgn21nm AS region_name FROM submissions_raw WHERE {IN_STUDY}""",
 )
 cte(
-    "population",
+    "pop_table",
     """SELECT DISTINCT CAST(3 + c.c_custkey % 90 AS INT) AS age, r.region_name,
   CAST(5000 + ((3 + c.c_custkey % 90) * 131 + r.region_idx * 977) % 4000 AS BIGINT) AS population
 FROM customer c CROSS JOIN region_dim r WHERE r.region_name <> 'Scotland'""",
 )
 cte(
     "strata_population",
-    f"SELECT {AGE_CASE} AS age_group, region_name, CAST(SUM(population) AS BIGINT) AS population FROM population GROUP BY 1, 2",
+    f"SELECT {AGE_CASE} AS age_group, region_name, CAST(SUM(population) AS BIGINT) AS population FROM pop_table GROUP BY 1, 2",
 )
 _terms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_TERMS.items())
 cte(
@@ -220,7 +225,7 @@ FROM search_volume t CROSS JOIN draw_dim d""",
 
 oracle("read_latest_snapshot", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer", ["c_acctbal"])
 oracle("read_submissions", "SELECT * FROM submissions_raw")
-oracle("read_population", "SELECT * FROM population")
+oracle("read_population", "SELECT * FROM pop_table")
 oracle(
     "read_search_trends",
     "SELECT * FROM search_volume WHERE date >= DATE '2023-11-14' AND date < DATE '2024-03-07'",
@@ -474,8 +479,8 @@ def delay_counts(source: str, by: list[str]) -> str:
     keys = ", ".join([*[k for k in by if k != "symptom"], "symptom", "age_group"])
     return f"""SELECT {keys}, CAST(sdate_lwr - pdate_lwr AS INT) AS delay_lwr, CAST(sdate_upr - pdate_lwr AS INT) AS delay_upr,
 CAST(pdate_upr - pdate_lwr AS INT) AS pwindow, CAST(sdate_upr - sdate_lwr AS INT) AS swindow,
-CAST(obs - pdate_lwr AS INT) AS relative_obs_time, CAST(SUM(n) AS BIGINT) AS n FROM (
-SELECT *, MAX(sdate_upr) OVER (PARTITION BY {", ".join(by)}) AS obs FROM ({source})) GROUP BY ALL"""
+CAST(obs_end - pdate_lwr AS INT) AS relative_obs_time, CAST(SUM(n) AS BIGINT) AS n FROM (
+SELECT *, MAX(sdate_upr) OVER (PARTITION BY {", ".join(by)}) AS obs_end FROM ({source})) GROUP BY ALL"""
 
 
 cte("dur_cells", interval_cells("3"))
@@ -660,7 +665,7 @@ UNION ALL SELECT date, symptom, draw, age_group, incidence, NULL FROM weighted_n
 oracle(
     "deconvolution_bands",
     f"""SELECT symptom, age_group, date, {bands('v')}, 'Deconvolution' AS data FROM (
-SELECT *, CASE WHEN EXTRACT(DAY FROM date) + draw % 3 <> 31 THEN incidence * 1000 END AS v FROM inc) GROUP BY 1, 2, 3""",
+SELECT *, CASE WHEN EXTRACT(DAY FROM date) + draw % 3 <> 31 THEN incidence / population * 1000 END AS v FROM inc) GROUP BY 1, 2, 3""",
     names(),
 )
 
@@ -843,11 +848,6 @@ SELECT {k}, delay_upr AS hi, delay_lwr AS lo, pwindow AS pw, n, 1 AS sign FROM {
 UNION ALL SELECT {k}, relative_obs_time, 0, pwindow, -n, -1 FROM {source} WHERE delay_upr > 0)
 GROUP BY {k}, hi, lo, pw, sign""",
     )
-    cte(
-        f"{prefix}_days",
-        f"""SELECT DISTINCT {k}, unnest([hi, hi - pw, lo, lo - pw]) AS d FROM {prefix}_terms""",
-    )
-
     def evaluate(step: str, centre: str, half: tuple) -> None:
         (i0, i1), (j0, j1) = half
         cte(
@@ -855,23 +855,17 @@ GROUP BY {k}, hi, lo, pw, sign""",
             f"""SELECT {k}, i, j, mu0 + i * dmu AS mu, ls0 + j * dls AS ls, dmu, dls FROM ({centre})
 CROSS JOIN (SELECT unnest(range({i0}, {i1 + 1})) AS i) CROSS JOIN (SELECT unnest(range({j0}, {j1 + 1})) AS j)""",
         )
-        cte(
-            f"{prefix}_area{step}",
-            f"""SELECT {k}, i, j, d, CASE WHEN d <= 0 THEN 0.0E0 ELSE d * {normal_cdf('z')} - m * {normal_cdf('z2')} END AS g FROM (
-SELECT n.*, d.d, exp(n.mu + exp(2 * n.ls) / 2) AS m, (ln(greatest(d.d, 1) * 1.0E0) - n.mu) / exp(n.ls) AS z,
-  (ln(greatest(d.d, 1) * 1.0E0) - n.mu) / exp(n.ls) - exp(n.ls) AS z2 FROM {prefix}_node{step} n JOIN {prefix}_days d USING ({k}))""",
-        )
-        joins = " ".join(
-            f"JOIN {prefix}_area{step} {a} ON {k_eq(a, 't')} AND {a}.d = {d}"
-            + ("" if a == "h1" else f" AND {a}.i = h1.i AND {a}.j = h1.j")
-            for a, d in (("h1", "t.hi"), ("h0", "t.hi - t.pw"), ("l1", "t.lo"), ("l0", "t.lo - t.pw"))
-        )
-        kt = ", ".join(f"t.{x}" for x in keys)
+        points = {"h1": "hi", "h0": "hi - pw", "l1": "lo", "l0": "lo - pw"}
+        scores = ", ".join(f"(ln(greatest({d}, 1) * 1.0E0) - mu) / sg AS {p}" for p, d in points.items())
+        shifts = ", ".join(f"{p} - sg AS {p}s" for p in points)
+        cdfs = ", ".join(f"{normal_cdf(p + e)} AS {p}{e}_c" for p in points for e in ("", "s"))
+        g = {p: f"(CASE WHEN {d} <= 0 THEN 0.0E0 ELSE ({d}) * {p}_c - m * {p}s_c END)" for p, d in points.items()}
         cte(
             f"{prefix}_lp{step}",
             f"""SELECT n.*, l.ll - 0.5E0 * pow((n.mu - {priors.mu_mean!r}E0) / {priors.mu_sd}, 2) AS lp FROM {prefix}_node{step} n JOIN (
-SELECT {kt}, h1.i, h1.j, SUM(t.n * ln(greatest(((h1.g - h0.g) - (l1.g - l0.g)) / t.pw, {TINY}))) AS ll
-FROM {prefix}_terms t {joins} GROUP BY ALL) l USING ({k}, i, j)""",
+SELECT {k}, i, j, SUM(n * ln(greatest((({g["h1"]} - {g["h0"]}) - ({g["l1"]} - {g["l0"]})) / pw, {TINY}))) AS ll FROM (
+SELECT *, {cdfs} FROM (SELECT *, {shifts} FROM (SELECT *, {scores} FROM (
+SELECT *, exp(ls) AS sg, exp(mu + exp(2 * ls) / 2) AS m FROM {prefix}_terms JOIN {prefix}_node{step} USING ({k}))))) GROUP BY {k}, i, j) l USING ({k}, i, j)""",
         )
         cte(
             f"{prefix}_line{step}",
@@ -948,7 +942,10 @@ FROM {prefix}_post WINDOW w AS (PARTITION BY symptom, age_group ORDER BY j, i RO
 WINDOW w AS (PARTITION BY symptom, age_group ORDER BY j, i)) WHERE last >= first"""
 
 
-oracle("draw_duration_ordered", ordered_draws("stated"), ["mu", "sigma"])
+oracle(
+    "draw_duration_ordered",
+    f"SELECT * REPLACE (round(mu, 4) AS mu, round(sigma, 4) AS sigma) FROM ({ordered_draws('stated')})",
+)
 
 # --- U -----------------------------------------------------------------------
 
