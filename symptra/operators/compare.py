@@ -15,6 +15,7 @@ from ..schema import AGE_GROUPS_WITH_ALL, ALL_AGES, BANDS_90, FIGURE_ORDER, MODE
 from .survey import filter_symptoms_regex, harmonise_symptoms, label_symptoms, with_category_rank
 
 SERIES = ["symptom", "age_group", "draw"]
+FLAT = 1e-9  # relative spread below which a series counts as constant
 
 
 def aggregate_draws(incidence: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def cross_correlation(
     with y at position i; means and variances are those of the full series.
 
     Lags count rows. By default the largest is floor(10 (log10 n - log10 2)),
-    at most n - 1. Each series (at most one row per study day) becomes one row
+    at most n - 1. Constant series give NaN. Each series (at most one row per study day) becomes one row
     of two arrays, so one shuffle serves all lags and no row pairs are built.
     """
     packed = df.groupBy(*keys).agg(
@@ -146,6 +147,9 @@ def cross_correlation(
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
+    def root(name: str) -> Column:
+        return F.sqrt(total(F.transform(name, lambda v: v * v)))
+
     def values(name: str) -> Column:
         return F.transform("_s", lambda s: s[name].cast("double"))
 
@@ -158,15 +162,15 @@ def cross_correlation(
         .select(
             *keys,
             "_n",
+            "_mx",
+            "_my",
             F.transform("_x", lambda v: v - F.col("_mx")).alias("_x"),
             F.transform("_y", lambda v: v - F.col("_my")).alias("_y"),
             F.greatest(F.least(lag, F.col("_n") - 1), F.lit(0)).alias("_l"),
         )
-        .withColumn(
-            "_den",
-            F.sqrt(total(F.transform("_x", lambda v: v * v)) * total(F.transform("_y", lambda v: v * v))),
-        )
+        .withColumns({"_sx": root("_x"), "_sy": root("_y")})
     )
+    flat = (F.col("_sx") <= F.abs("_mx") * FLAT * F.sqrt("_n")) | (F.col("_sy") <= F.abs("_my") * FLAT * F.sqrt("_n"))
     shift = F.col("lag")
     n_pairs = F.col("_n") - F.abs(shift)
     left = F.slice("_x", F.greatest(shift, F.lit(0)) + 1, n_pairs)
@@ -175,12 +179,13 @@ def cross_correlation(
     return series.withColumn("lag", F.explode(F.sequence(-F.col("_l"), F.col("_l")))).select(
         *keys,
         "lag",
-        F.when(F.col("_den") == 0, F.lit(float("nan"))).otherwise(cross / F.col("_den")).alias("ccf"),
+        F.when(flat, F.lit(float("nan"))).otherwise(cross / (F.col("_sx") * F.col("_sy"))).alias("ccf"),
     )
 
 
 def ccf_bands(ccf: DataFrame) -> DataFrame:
-    return quantile_bands(ccf, "ccf", ["symptom", "age_group", "lag"])
+    """Bands per lag over the draws whose correlation is defined."""
+    return quantile_bands(ccf.filter(~F.isnan("ccf")), "ccf", ["symptom", "age_group", "lag"])
 
 
 def max_per_draw(ccf: DataFrame, keys: Sequence[str] = tuple(SERIES)) -> DataFrame:

@@ -162,7 +162,8 @@ def _normal_equations(cells: DataFrame, design: Design, betas: dict[str, np.ndar
                     lack = lack + np.where(m > y, (m - y) * np.log((m - y) / (m - m * p)), 0.0)
                 row = np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [w @ (z * z), 2 * lack.sum(), len(part)]])
                 sums[symptom] = sums.get(symptom, 0.0) + row
-        yield pd.DataFrame({"symptom": list(sums), "s": [v.tolist() for v in sums.values()]})
+        for symptom, row in sums.items():
+            yield pd.DataFrame({"symptom": [symptom], "s": [row.tolist()]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         stacked = np.sum(np.stack(pdf["s"].to_numpy()), axis=0)

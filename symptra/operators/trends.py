@@ -136,7 +136,7 @@ def _draw(fit: DataFrame, features: DataFrame, rows, n_draws: int, seed: int, ou
 
     def per_series(days: pd.DataFrame, coef: pd.DataFrame) -> pd.DataFrame:
         if coef.empty or days.empty:
-            return pd.DataFrame({"symptom": [], "t": [], "_v": []})
+            return pd.DataFrame({"symptom": [], "t": [], "_v": []}, dtype=object)
         r = coef.iloc[0]
         beta = np.asarray(r["beta"])
         cov = np.asarray(r["cov"]).reshape(len(beta), len(beta))

@@ -784,7 +784,8 @@ cte(
 
 
 def ccf(source: str, x: str, y: str) -> str:
-    return f"""SELECT a.symptom, a.age_group, a.draw, CAST(a.pos - b.pos AS INT) AS lag, SUM(a.dx * b.dy) / sqrt(any_value(a.xx) * any_value(a.yy)) AS ccf
+    return f"""SELECT a.symptom, a.age_group, a.draw, CAST(a.pos - b.pos AS INT) AS lag, CASE WHEN any_value(a.flat) THEN 'NaN'::DOUBLE
+ELSE SUM(a.dx * b.dy) / sqrt(any_value(a.xx) * any_value(a.yy)) END AS ccf
 FROM {source}_c a JOIN {source}_c b ON a.symptom = b.symptom AND a.age_group = b.age_group AND a.draw = b.draw
   AND abs(a.pos - b.pos) <= a.l GROUP BY 1, 2, 3, 4"""
 
@@ -792,18 +793,20 @@ FROM {source}_c a JOIN {source}_c b ON a.symptom = b.symptom AND a.age_group = b
 for _source, _x, _y in (("joined", "incidence", "fitted"), ("joined_gr", "wcis_gr", "gt_gr")):
     cte(
         f"{_source}_c",
-        f"""SELECT *, SUM(dx * dx) OVER (PARTITION BY symptom, age_group, draw) AS xx, SUM(dy * dy) OVER (PARTITION BY symptom, age_group, draw) AS yy,
+        f"""SELECT *, sqrt(xx) <= abs(mx) * 1E-9 * sqrt(n) OR sqrt(yy) <= abs(my) * 1E-9 * sqrt(n) AS flat FROM (
+SELECT *, SUM(dx * dx) OVER (PARTITION BY symptom, age_group, draw) AS xx, SUM(dy * dy) OVER (PARTITION BY symptom, age_group, draw) AS yy,
 least(CAST(floor(10 * (log10(n) - log10(2))) AS INT), n - 1) AS l FROM (
 SELECT symptom, age_group, draw, row_number() OVER (PARTITION BY symptom, age_group, draw ORDER BY date) AS pos,
   COUNT(*) OVER (PARTITION BY symptom, age_group, draw) AS n,
+  AVG({_x}) OVER (PARTITION BY symptom, age_group, draw) AS mx, AVG({_y}) OVER (PARTITION BY symptom, age_group, draw) AS my,
   {_x} - AVG({_x}) OVER (PARTITION BY symptom, age_group, draw) AS dx,
-  {_y} - AVG({_y}) OVER (PARTITION BY symptom, age_group, draw) AS dy FROM {_source})""",
+  {_y} - AVG({_y}) OVER (PARTITION BY symptom, age_group, draw) AS dy FROM {_source}))""",
     )
 cte("ccf_inc", ccf("joined", "incidence", "fitted"))
 cte("ccf_gr", ccf("joined_gr", "wcis_gr", "gt_gr"))
 oracle("cross_correlation", "SELECT * FROM ccf_inc", ["ccf"])
 oracle("cross_correlation_growth", "SELECT * FROM ccf_gr", ["ccf"])
-oracle("ccf_bands", f"SELECT symptom, age_group, lag, {bands('ccf')} FROM ccf_inc GROUP BY 1, 2, 3", names())
+oracle("ccf_bands", f"SELECT symptom, age_group, lag, {bands('ccf')} FROM ccf_inc WHERE NOT isnan(ccf) GROUP BY 1, 2, 3", names())
 for _k in ("inc", "gr"):
     cte(
         f"top_{_k}",
