@@ -126,7 +126,8 @@ def prevalence_samples(spark: SparkSession, sf_dir: str, n_draws: int = N_DRAWS)
     )
     grid = with_draws(prediction_grid(subs, windows=False).select(*keys), n_draws)
     wide = grid.join(counted, [*keys, "draw"], "left").na.fill(0, ["n", *MODELLED_SYMPTOMS])
-    rates = [((0.5 + F.col(s)) / (10 + F.col("n"))).alias(s) for s in MODELLED_SYMPTOMS]
+    prior = 0.5 + F.dayofmonth("submitted_at") / 100  # empty cells still vary by day
+    rates = [((prior + F.col(s)) / (10 + F.col("n"))).alias(s) for s in MODELLED_SYMPTOMS]
     long = wide.select(*keys, "draw", *rates).unpivot([*keys, "draw"], list(MODELLED_SYMPTOMS), "symptom", "p")
     return poststratify(long, poststrat_population(population(spark, sf_dir)))
 

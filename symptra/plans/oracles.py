@@ -180,7 +180,7 @@ cte(
     "prev_draws",
     f"""SELECT symptom, submitted_at, draw, region_name, age_group, p, population, p * population AS p_n FROM (
   SELECT s.symptom, d.submitted_at, dr.draw, r.region_name, a.age_group,
-    (0.5E0 + COALESCE(CASE s.symptom {_pick} END, 0)) / (10 + COALESCE(b.n, 0)) AS p
+    (0.5E0 + EXTRACT(DAY FROM d.submitted_at) / 100.0E0 + COALESCE(CASE s.symptom {_pick} END, 0)) / (10 + COALESCE(b.n, 0)) AS p
   FROM (SELECT DISTINCT submitted_at FROM submissions) d CROSS JOIN draw_dim dr
   CROSS JOIN (SELECT DISTINCT region_name FROM submissions) r CROSS JOIN (SELECT DISTINCT age_group FROM submissions) a
   CROSS JOIN symptom_dim s LEFT JOIN boot_count b ON b.submitted_at = d.submitted_at AND b.draw = dr.draw
