@@ -105,8 +105,9 @@ def reweight_window(samples: DataFrame, weights: DataFrame, by: Sequence[str] =
 
 
 def poststratify(samples: DataFrame, population: DataFrame) -> DataFrame:
-    """Attach the stratum population and the expected number of cases."""
-    pop = small_side(population.select("age_group", "region_name", "population"))
+    """Attach the stratum population and the expected number of cases. Spark
+    broadcasts the strata by their estimated size."""
+    pop = population.select("age_group", "region_name", "population")
     return null_safe_join(samples, pop, ["age_group", "region_name"], "left").withColumn(
         "p_n", F.col("p") * F.col("population")
     )

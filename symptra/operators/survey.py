@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,21 +47,17 @@ def add_weekday(df: DataFrame, date: str = "submitted_at") -> DataFrame:
     return df.withColumns({"wday": F.date_format(date, "EEE"), "wday_rank": F.dayofweek(date)})
 
 
-def _flags(prefix: str, symptoms: Sequence[str]) -> list[Column]:
-    return [F.col(f"{prefix}_{s}") for s in symptoms]
-
-
 def add_any_flag(
     df: DataFrame, prefix: str = "symptoms_new", symptoms: Sequence[str] = tuple(ILI_SYMPTOMS)
 ) -> DataFrame:
     """Three-valued OR over the symptom flags, as ``<prefix>_any``."""
-    return df.withColumn(f"{prefix}_any", reduce(lambda a, b: a | b, _flags(prefix, symptoms)))
+    return df.withColumn(f"{prefix}_any", F.expr(" OR ".join(f"`{prefix}_{s}`" for s in symptoms)))
 
 
 def add_ili_count(df: DataFrame, symptoms: Sequence[str] = tuple(ILI_SYMPTOMS)) -> DataFrame:
     """Number of new symptoms; NULL as soon as one flag is NULL."""
-    ints = [c.cast("int") for c in _flags("symptoms_new", symptoms)]
-    return df.withColumn("symptoms_count_new_ili", reduce(lambda a, b: a + b, ints))
+    total = " + ".join(f"CAST(`symptoms_new_{s}` AS INT)" for s in symptoms)
+    return df.withColumn("symptoms_count_new_ili", F.expr(total))
 
 
 def add_row_id(
@@ -126,8 +121,8 @@ def filter_study(
 def with_category_rank(df: DataFrame, column: str, levels: Sequence[str], rank: str | None = None) -> DataFrame:
     """Ordered category: adds its 1-based rank; a value outside the levels
     becomes NULL, as does its rank."""
-    pos = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(column)).cast("int")
-    pos = F.when(pos > 0, pos)
+    listed = ", ".join(f"'{v}'" for v in levels)
+    pos = F.expr(f"CAST(nullif(array_position(array({listed}), `{column}`), 0) AS INT)")
     return df.withColumns(
         {rank or f"{column}_rank": pos, column: F.when(pos.isNotNull(), F.col(column))}
     )

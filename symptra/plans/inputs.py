@@ -52,30 +52,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def submissions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One survey submission per order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    day0 = F.lit("2023-11-01").cast("date")
-    day = (key * 7 + cust) % 140
-    extra = F.when(key % 20 == 0, 50).otherwise(0)
-    regions = F.array(*[F.lit(r) for r in [*REGIONS, EXCLUDED_REGION]])
+    day = "(o_orderkey * 7 + o_custkey) % 140"
+    late = "CASE WHEN o_orderkey % 20 = 0 THEN 50 ELSE 0 END"
+    regions = ", ".join(f"'{r}'" for r in [*REGIONS, EXCLUDED_REGION])
     columns = {
-        "submission_id": key,
-        "participant_id": cust,
-        "submitted_at": F.date_add(day0, day.cast("int")),
-        "window_start_date": F.date_add(day0, (day - key % 7).cast("int")),
-        "symptoms_onset": F.date_add(day0, (day - (key * 13) % 15 - extra).cast("int")),
-        "sex": F.when(cust % 2 == 0, "Female").otherwise("Male"),
-        "age": (3 + cust % 90).cast("int"),
-        "rgn21nm": F.element_at(regions, (F.col("c_nationkey") % 10 + 1).cast("int")),
-        "imd_dec": (1 + cust % 10).cast("int"),
+        "submission_id": "o_orderkey",
+        "participant_id": "o_custkey",
+        "submitted_at": f"date_add(DATE '2023-11-01', CAST({day} AS INT))",
+        "window_start_date": f"date_add(DATE '2023-11-01', CAST({day} - o_orderkey % 7 AS INT))",
+        "symptoms_onset": f"date_add(DATE '2023-11-01', CAST({day} - (o_orderkey * 13) % 15 - {late} AS INT))",
+        "sex": "CASE WHEN o_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END",
+        "age": "CAST(3 + o_custkey % 90 AS INT)",
+        "rgn21nm": f"element_at(array({regions}), CAST(c_nationkey % 10 + 1 AS INT))",
+        "imd_dec": "CAST(1 + o_custkey % 10 AS INT)",
     }
     for s, (a, m) in _FLAG_RULES.items():
-        columns[f"symptoms_new_{s}"] = (key * a + cust) % m == 0
-    for s, (a, m) in _FLAG_RULES.items():
-        columns[f"symptoms_{s}"] = (key * a + cust) % m < 2
-    joined = orders.join(customers, cust == F.col("c_custkey"))
-    return joined.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in SUBMISSIONS])
+        columns[f"symptoms_new_{s}"] = f"(o_orderkey * {a} + o_custkey) % {m} = 0"
+        columns[f"symptoms_{s}"] = f"(o_orderkey * {a} + o_custkey) % {m} < 2"
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    return joined.selectExpr(*[f"{columns[name]} AS {name}" for name in SUBMISSIONS.names])
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
