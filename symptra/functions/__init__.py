@@ -14,9 +14,11 @@ from .frames import (
     assert_complete,
     attach_group_stats,
     quantile_bands,
+    ranked_quantiles,
     shared_dir,
     small_side,
     with_draws,
+    with_range_bucket,
 )
 
 __all__ = [
@@ -29,9 +31,11 @@ __all__ = [
     "lognormal_density",
     "normal_cdf",
     "quantile_bands",
+    "ranked_quantiles",
     "shared_dir",
     "small_side",
     "strict",
     "strict_sum",
     "with_draws",
+    "with_range_bucket",
 ]

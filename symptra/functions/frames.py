@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import BANDS
@@ -56,6 +58,68 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> Dat
     return null_safe_join(df, small_side(df.groupBy(*keys).agg(*aggs)), keys, "left")
 
 
+def with_range_bucket(df: DataFrame, order: str, buckets: int | None = None, column: str = "_bucket") -> DataFrame:
+    """Number the value ranges of ``order`` (a number or date) so that each
+    holds about as many rows. Defaults to four ranges per shuffle partition.
+
+    Cut points are approximate quantiles in one row; a value is placed in two
+    steps, first among every width-th cut, then among the cuts in between.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = math.isqrt(max(buckets or 4 * parts, 1) - 1) + 1
+    n = width * width
+    cuts = F.percentile_approx(order, [i / n for i in range(1, n + 1)], 20 * n).alias("_cuts")
+    bounds = df.agg(cuts).select("_cuts", F.expr(f"transform(sequence(1, {width}), i -> _cuts[i * {width} - 1])").alias("_tops"))
+    below = f"c -> c < `{order}`"
+    first = F.expr(f"least(size(filter(_tops, {below})), {width - 1})")
+    second = F.expr(f"size(filter(slice(_cuts, _first * {width} + 1, {width}), {below}))")
+    return (
+        df.crossJoin(F.broadcast(bounds))  # one row
+        .withColumn("_first", F.coalesce(first, F.lit(0)))
+        .withColumn(column, F.col("_first") * width + F.coalesce(second, F.lit(0)))
+        .drop("_cuts", "_tops", "_first")
+    )
+
+
+def ranked_quantiles(
+    df: DataFrame, value: str, keys: Sequence[str], prefix: str = "pi_", probs: dict[str, float] = BANDS
+) -> DataFrame:
+    """The same exact quantiles for groups of any size.
+
+    Rows are first counted per distinct value; value ranges of about equal size
+    are cumulated on their own and shifted by the earlier ranges, and only the
+    values at the wanted ranks are kept. Neither a large group nor a frequent
+    value ends up in one task.
+    """
+    keys = list(keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = with_range_bucket(counted, value)
+    sizes = ranged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    group = W.partitionBy(*keys)  # one row per range
+    offsets = sizes.select(
+        *keys,
+        "_bucket",
+        (F.sum("_size").over(group.orderBy("_bucket")) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(group).alias("_total"),
+    )
+    inside = W.partitionBy(*keys, "_bucket").orderBy(value)
+    ranks = null_safe_join(
+        ranged.withColumn("_end", F.sum("_n").over(inside)), small_side(offsets), [*keys, "_bucket"], "left"
+    ).withColumn("_end", F.col("_end") + F.col("_before"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") - F.col("_n") < rank) & (rank <= F.col("_end")), F.col(value)))
+
+    picks, out = [], []
+    for k, p in probs.items():
+        place = F.col("_total") - 1
+        place = place * p
+        picks += [at(F.floor(place) + 1).alias(f"_lo{k}"), at(F.ceil(place) + 1).alias(f"_hi{k}")]
+        share = place - F.floor(place)
+        out.append((F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * share).alias(f"{prefix}{k}"))
+    return ranks.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks).select(*keys, *out)
+
+
 def quantile_bands(
     df: DataFrame,
     value: str,
@@ -67,8 +131,8 @@ def quantile_bands(
     """Exact linearly interpolated quantiles of ``value`` per group of ``keys``.
 
     The values of a group are its posterior draws, so one group holds at most
-    as many values as there are draws. ``accuracy`` switches to the bounded
-    sketch, for exploratory use or for groups that are not draws.
+    as many values as there are draws; use :func:`ranked_quantiles` for groups
+    of raw rows. ``accuracy`` switches to the bounded sketch, for exploration.
     """
     keys = list(keys)
     agg = bands(value, prefix, probs)

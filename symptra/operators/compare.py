@@ -63,11 +63,11 @@ def _growth_rates(df: DataFrame, value: str, keys: Sequence[str], out: str) -> D
 
 
 def survey_growth_rates(samples: DataFrame) -> DataFrame:
-    return _growth_rates(samples, "incidence", SERIES, "wcis_gr")
+    return _growth_rates(samples, "incidence", SERIES, "survey_gr")
 
 
 def survey_growth_bands(growth: DataFrame) -> DataFrame:
-    return quantile_bands(growth, "wcis_gr", ["symptom", "age_group", "date"]).withColumn("data", F.col("age_group"))
+    return quantile_bands(growth, "survey_gr", ["symptom", "age_group", "date"]).withColumn("data", F.col("age_group"))
 
 
 def trend_draws(trends: DataFrame) -> DataFrame:
@@ -94,11 +94,11 @@ def trend_compare_bands(draws: DataFrame) -> DataFrame:
 
 
 def trend_growth_rates(draws: DataFrame) -> DataFrame:
-    return _growth_rates(draws, "fitted", ["symptom", "draw"], "gt_gr")
+    return _growth_rates(draws, "fitted", ["symptom", "draw"], "search_gr")
 
 
 def trend_growth_bands(growth: DataFrame) -> DataFrame:
-    return quantile_bands(growth, "gt_gr", ["date", "symptom"]).withColumn("data", F.lit(SEARCH_TAG))
+    return quantile_bands(growth, "search_gr", ["date", "symptom"]).withColumn("data", F.lit(SEARCH_TAG))
 
 
 def _figure(survey: DataFrame, search: DataFrame) -> DataFrame:

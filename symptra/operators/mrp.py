@@ -337,7 +337,8 @@ def prevalence_draws(
                 yield out.assign(p=list(p))
 
     keys = ["submitted_at", "region_name", "age_group"]
-    spread = _spread(grid.select(*keys, "t"), sorted(draws), keys)
+    # all cells of a date in one task: later sums over age or region combine map-side
+    spread = _spread(grid.select(*keys, "t"), sorted(draws), ["submitted_at"])
     schema = "symptom string, submitted_at date, region_name string, age_group string, p array<double>"
     arrays = spread.mapInPandas(predict, schema).withColumnRenamed("p", "_p")
     stratified = poststratify(arrays.withColumn("p", F.lit(1.0)), population).drop("p", "p_n")

@@ -140,16 +140,22 @@ def prevalence_national(samples: DataFrame) -> DataFrame:
 
 
 def prevalence_summary(samples: DataFrame) -> DataFrame:
-    """Age, region and national bands from one pass over the samples."""
+    """Age, region and national bands.
+
+    Samples are summed once by age and once by region; the nation adds up the
+    age sums, so the long table is never multiplied by the breakdowns.
+    """
     base = ["symptom", "submitted_at", "draw"]
-    per_draw = samples.groupingSets(
-        [[*base, "age_group"], [*base, "region_name"], base], *base, "age_group", "region_name"
-    ).agg(
-        F.when(F.grouping("age_group") == 0, "age")
-        .when(F.grouping("region_name") == 0, "region")
-        .otherwise("nation")
-        .alias("breakdown"),
-        _rate(),
+    sums = [strict_sum(c).alias(c) for c in ("p_n", "population")]
+    none = F.lit(None).cast("string")
+    by_age = samples.groupBy(*base, "age_group").agg(*sums)
+    by_region = samples.groupBy(*base, "region_name").agg(*sums)
+    nation = by_age.groupBy(*base).agg(*sums)
+    per_draw = (
+        by_age.withColumns({"region_name": none, "breakdown": F.lit("age")})
+        .unionByName(by_region.withColumns({"age_group": none, "breakdown": F.lit("region")}))
+        .unionByName(nation.withColumns({"age_group": none, "region_name": none, "breakdown": F.lit("nation")}))
+        .withColumn("p", F.col("p_n") / F.col("population"))
     )
     keys = ["symptom", "submitted_at", "age_group", "region_name", "breakdown"]
     return (

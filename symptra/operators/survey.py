@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.frames import null_safe_join, small_side
+from ..functions.frames import null_safe_join, small_side, with_range_bucket
 from ..schema import (
     AGE_GROUPS,
     EXCLUDED_REGION,
@@ -65,22 +65,16 @@ def add_row_id(
     order: str,
     partition: Sequence[str] = (),
     column: str = "row_id",
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Row number by ``order`` (a unique number or date), global or per group.
 
     One window over everything would sort the table in a single task. Instead
-    approximate quantiles of ``order`` cut it into ranges, each range is
-    numbered on its own, and the counts of the earlier ranges are added.
+    value ranges of about equal size are numbered on their own, and the counts
+    of the earlier ranges are added.
     """
     keys = list(partition)
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(order, cuts, 1000).alias("_cuts"))
-    ranged = (
-        df.crossJoin(F.broadcast(bounds))  # one row
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-        .drop("_cuts")
-    )
+    ranged = with_range_bucket(df, order, buckets)
     counts = ranged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -742,11 +742,11 @@ def growth(source: str, value: str, keys: str, out: str) -> str:
 FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY date)) WHERE pd IS NOT NULL"""
 
 
-cte("survey_gr", growth("survey_all", "incidence", "symptom, age_group, draw", "wcis_gr"))
-oracle("survey_growth_rates", "SELECT * FROM survey_gr", ["incidence", "diff_time", "diff_incidence", "wcis_gr"])
+cte("growth_survey", growth("survey_all", "incidence", "symptom, age_group, draw", "survey_gr"))
+oracle("survey_growth_rates", "SELECT * FROM growth_survey", ["incidence", "diff_time", "diff_incidence", "survey_gr"])
 cte(
     "survey_gr_bands",
-    f"SELECT symptom, age_group, date, {bands('wcis_gr')}, age_group AS data FROM survey_gr GROUP BY 1, 2, 3",
+    f"SELECT symptom, age_group, date, {bands('survey_gr')}, age_group AS data FROM growth_survey GROUP BY 1, 2, 3",
 )
 oracle("survey_growth_bands", "SELECT * FROM survey_gr_bands", names())
 cte(
@@ -757,9 +757,9 @@ WHERE regexp_matches(symptom, '{"|".join(MODELLED_SYMPTOMS)}')""",
 oracle("trend_draws", "SELECT * FROM trend_sel", ["value", "fitted"])
 cte("trend_cmp", f"SELECT *, 'Google trends' AS data FROM ({value_bands('trend_sel', 'date, symptom')})")
 oracle("trend_compare_bands", "SELECT * FROM trend_cmp", [*names(), "value"])
-cte("trend_gr", growth("trend_sel", "fitted", "symptom, draw", "gt_gr"))
-oracle("trend_growth_rates", "SELECT * FROM trend_gr", ["value", "fitted", "diff_time", "diff_incidence", "gt_gr"])
-cte("trend_gr_bands", f"SELECT date, symptom, {bands('gt_gr')}, 'Google trends' AS data FROM trend_gr GROUP BY 1, 2")
+cte("growth_search", growth("trend_sel", "fitted", "symptom, draw", "search_gr"))
+oracle("trend_growth_rates", "SELECT * FROM growth_search", ["value", "fitted", "diff_time", "diff_incidence", "search_gr"])
+cte("trend_gr_bands", f"SELECT date, symptom, {bands('search_gr')}, 'Google trends' AS data FROM growth_search GROUP BY 1, 2")
 oracle("trend_growth_bands", "SELECT * FROM trend_gr_bands", names())
 _rank = rank_of("data", FIGURE_ORDER)
 oracle(
@@ -779,7 +779,7 @@ cte(
 oracle("join_draws", "SELECT * FROM joined", ["incidence", "value", "fitted"])
 cte(
     "joined_gr",
-    "SELECT s.symptom, s.age_group, s.draw, s.date, s.wcis_gr, t.gt_gr FROM survey_gr s JOIN trend_gr t USING (symptom, date, draw)",
+    "SELECT s.symptom, s.age_group, s.draw, s.date, s.survey_gr, t.search_gr FROM growth_survey s JOIN growth_search t USING (symptom, date, draw)",
 )
 
 
@@ -790,7 +790,7 @@ FROM {source}_c a JOIN {source}_c b ON a.symptom = b.symptom AND a.age_group = b
   AND abs(a.pos - b.pos) <= a.l GROUP BY 1, 2, 3, 4"""
 
 
-for _source, _x, _y in (("joined", "incidence", "fitted"), ("joined_gr", "wcis_gr", "gt_gr")):
+for _source, _x, _y in (("joined", "incidence", "fitted"), ("joined_gr", "survey_gr", "search_gr")):
     cte(
         f"{_source}_c",
         f"""SELECT *, sqrt(xx) <= abs(mx) * 1E-9 * sqrt(n) OR sqrt(yy) <= abs(my) * 1E-9 * sqrt(n) AS flat FROM (
@@ -803,7 +803,7 @@ SELECT symptom, age_group, draw, row_number() OVER (PARTITION BY symptom, age_gr
   {_y} - AVG({_y}) OVER (PARTITION BY symptom, age_group, draw) AS dy FROM {_source}))""",
     )
 cte("ccf_inc", ccf("joined", "incidence", "fitted"))
-cte("ccf_gr", ccf("joined_gr", "wcis_gr", "gt_gr"))
+cte("ccf_gr", ccf("joined_gr", "survey_gr", "search_gr"))
 oracle("cross_correlation", "SELECT * FROM ccf_inc", ["ccf"])
 oracle("cross_correlation_growth", "SELECT * FROM ccf_gr", ["ccf"])
 oracle("ccf_bands", f"SELECT symptom, age_group, lag, {bands('ccf')} FROM ccf_inc WHERE NOT isnan(ccf) GROUP BY 1, 2, 3", names())
@@ -952,8 +952,14 @@ oracle(
 
 # --- U -----------------------------------------------------------------------
 
+oracle("quantile_bands", f"SELECT symptom, age_group, {bands('mu')} FROM dur_draws GROUP BY 1, 2", names())
 oracle(
-    "quantile_bands",
+    "ranked_quantiles_ties",
+    f"SELECT l_returnflag, {bands('l_quantity')} FROM lineitem GROUP BY 1",
+    names(),
+)
+oracle(
+    "ranked_quantiles",
     f"SELECT o_orderpriority, o_orderstatus, {bands('o_totalprice')} FROM orders GROUP BY 1, 2",
     names(),
 )
@@ -974,6 +980,7 @@ oracle(
 SELECT o_custkey, CASE WHEN o_orderkey % 1000 <> 7 THEN o_totalprice END AS price FROM orders) GROUP BY 1""",
     ["total", "known"],
 )
+oracle("assert_complete", "SELECT submission_id, age_group, region_name FROM submissions")
 oracle("with_draws", "SELECT c_custkey, c_nationkey, draw FROM customer CROSS JOIN draw_dim")
 oracle(
     "scalar_functions",

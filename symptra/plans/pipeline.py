@@ -106,8 +106,8 @@ class Pipeline:
             "incidence": (compare.join_draws(survey_draws, search), "incidence", "fitted"),
             "gr": (
                 compare.join_draws(survey_growth.drop("diff_time", "diff_incidence"), search_growth),
-                "wcis_gr",
-                "gt_gr",
+                "survey_gr",
+                "search_gr",
             ),
         }
         for name, (joined, x, y) in pairs.items():
@@ -123,6 +123,8 @@ class Pipeline:
         solved = deconvolution.assign_dates(
             deconvolution.deconvolve(prevalence, deconvolution.delay_pmf(self._samples("duration_samples"))), start
         )
+        self._write(solved, "deconvolved_ages")
+        solved = self._samples("deconvolved_ages")
         self._write(
             deconvolution.stack_national(solved, deconvolution.national_weighted(solved)), "deconvolved_incidence"
         )

@@ -80,7 +80,7 @@ def ccf_growth(s: SparkSession, d: str) -> DataFrame:
         compare.survey_growth_rates(survey_draws(s, d)).drop("diff_time", "diff_incidence"),
         compare.trend_growth_rates(search_draws(s, d)),
     )
-    return compare.cross_correlation(joined, "wcis_gr", "gt_gr")
+    return compare.cross_correlation(joined, "survey_gr", "search_gr")
 
 
 def delays(s: SparkSession, d: str) -> DataFrame:
@@ -819,8 +819,19 @@ def q_max_ccf_2d(s, d):
 
 @query
 def q_quantile_bands(s, d):
+    return frames.quantile_bands(I.duration_samples(s, d), "mu", ["symptom", "age_group"])
+
+
+@query
+def q_ranked_quantiles(s, d):
     orders = I.table(s, d, "orders")
-    return frames.quantile_bands(orders, "o_totalprice", ["o_orderpriority", "o_orderstatus"])
+    return frames.ranked_quantiles(orders, "o_totalprice", ["o_orderpriority", "o_orderstatus"])
+
+
+@query
+def q_ranked_quantiles_ties(s, d):
+    items = I.table(s, d, "lineitem")
+    return frames.ranked_quantiles(items, "l_quantity", ["l_returnflag"])
 
 
 @query
@@ -831,7 +842,7 @@ def q_lognormal_density(s, d):
 
 @query
 def q_format_interval(s, d):
-    bands = frames.quantile_bands(I.table(s, d, "customer"), "c_acctbal", ["c_nationkey"])
+    bands = frames.ranked_quantiles(I.table(s, d, "customer"), "c_acctbal", ["c_nationkey"])
     small = [F.col(c) / 1000 for c in ("pi_50", "pi_5", "pi_95")]
     return bands.select(
         "c_nationkey",
@@ -848,6 +859,13 @@ def q_strict_sum(s, d):
     return marked.groupBy("o_custkey").agg(C.strict_sum("price").alias("total"), F.sum("price").alias("known"))
 
 
+@query
+def q_assert_complete(s, d):
+    return frames.assert_complete(
+        I.submissions(s, d).select("submission_id", "age_group", "region_name"), ["age_group", "region_name"]
+    )
+
+
 @query
 def q_with_draws(s, d):
     return frames.with_draws(I.table(s, d, "customer").select("c_custkey", "c_nationkey"), 20)

@@ -36,7 +36,7 @@ def test_growth_divides_by_current_value_and_gap(spark):
         [("cough", "All", 1, d[0], 10.0), ("cough", "All", 1, d[1], 20.0), ("cough", "All", 1, d[3], 10.0)],
         "symptom string, age_group string, draw int, date date, incidence double",
     )
-    got = [r["wcis_gr"] for r in compare.survey_growth_rates(df).orderBy("date").collect()]
+    got = [r["survey_gr"] for r in compare.survey_growth_rates(df).orderBy("date").collect()]
     assert got == [50.0, -50.0]
 
 

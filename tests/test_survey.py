@@ -138,3 +138,12 @@ def test_search_trend_filter_reaches_the_files(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     plan = read_search_trends(spark, str(tmp_path / "t"))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(date,2023-11-14)" in plan and "z" not in plan.split("ReadSchema")[-1].split("\n")[0]
+
+
+def test_ranked_quantiles_equal_percentiles_under_ties_and_skew(spark):
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.when(F.col("id") < 1500, "hot").otherwise("cold")).alias("k"),
+        F.when(F.col("id") % 2 == 0, 7.0).when(F.col("id") % 97 == 1, None).otherwise((F.col("id") * 37 % 1009).cast("double")).alias("v"),
+    )
+    key = lambda d: sorted((tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in d.collect()))
+    assert key(frames.ranked_quantiles(df, "v", ["k"])) == key(frames.quantile_bands(df, "v", ["k"]))
