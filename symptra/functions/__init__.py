@@ -17,6 +17,7 @@ from .frames import (
     ranked_quantiles,
     shared_dir,
     small_side,
+    stored,
     with_draws,
     with_range_bucket,
 )
@@ -34,6 +35,7 @@ __all__ = [
     "ranked_quantiles",
     "shared_dir",
     "small_side",
+    "stored",
     "strict",
     "strict_sum",
     "with_draws",

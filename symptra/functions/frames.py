@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back: later steps use
+    them several times without repeating the work before, and executor loss
+    costs nothing."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the rows of this side.
 

@@ -91,7 +91,9 @@ def deconvolve(
     work on batches of series as matrices. ``t`` counts the rows of a series
     from 1. ``scale`` multiplies the data for the stopping rule only.
     """
-    series = prevalence.groupBy(*SERIES).agg(
+    parts = int(prevalence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prevalence.repartition(parts, *SERIES)  # small rows, long work: keep all tasks
+    series = spread.groupBy(*SERIES).agg(
         F.array_sort(F.collect_list(F.struct("date", "prevalence", "population"))).alias("_s")
     )
     packed = series.select(

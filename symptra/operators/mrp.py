@@ -196,9 +196,6 @@ def fit_mrp(
     """
     spark = cells.sparkSession
     needed = Design(spec, 2).columns()
-    symptoms = [r["symptom"] for r in cells.select("symptom").distinct().collect()]
-    t_max = cells.agg(F.max("t")).first()[0] if "t" in needed else 1
-    design = Design(spec, int(t_max))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = (
         cells.select("symptom", *needed, "n_trials", "n_outcome")
@@ -208,6 +205,10 @@ def fit_mrp(
         .repartition(parts, "symptom", *needed)
         .persist()
     )
+    last_day = F.max("t") if "t" in needed else F.lit(1)
+    last = {r["symptom"]: r["t"] for r in data.groupBy("symptom").agg(last_day.alias("t")).collect()}
+    symptoms, t_max = list(last), max(last.values())
+    design = Design(spec, int(t_max))
     slices = design.penalty_slices()
     state = {s: {"beta": None, "dev": np.inf, "pen": [1.0] * len(slices), "done": False} for s in symptoms}
     for iteration in range(1, max_iterations + 1):

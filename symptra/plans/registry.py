@@ -59,7 +59,7 @@ def shifted(s: SparkSession, d: str) -> DataFrame:
 
 
 def incidence_draws(s: SparkSession, d: str) -> DataFrame:
-    return incidence.trim_common_support(shifted(s, d))
+    return incidence.trim_common_support(frames.stored(shifted(s, d)))
 
 
 def survey_draws(s: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def delay_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def deconvolved(s: SparkSession, d: str, max_iter: int = 32, tol: float = 1e-4) -> DataFrame:
-    prevalence = prevalence_age(s, d)
+    prevalence = frames.stored(prevalence_age(s, d))
     solved = deconvolution.deconvolve(
         prevalence, deconvolution.delay_pmf(I.duration_samples(s, d)), tol=tol, max_iter=max_iter
     )
@@ -100,17 +100,17 @@ def deconvolved(s: SparkSession, d: str, max_iter: int = 32, tol: float = 1e-4)
     return deconvolution.assign_dates(solved.crossJoin(F.broadcast(start)), F.col("_start")).drop("_start")
 
 
-def fixed_bands(s: SparkSession, d: str) -> DataFrame:
-    return compare.per_capita_bands(survey_draws(s, d), BACKSHIFT_TAG)
-
-
-def scaled_bands(s: SparkSession, d: str) -> DataFrame:
-    """A second method's bands with a later start and an earlier end."""
-    bands = compare.per_capita_bands(
-        survey_draws(s, d).withColumn("incidence", F.col("incidence") * (1.1 + F.dayofmonth("date") / 100)),
+def method_bands(s: SparkSession, d: str) -> DataFrame:
+    """Bands of the back-shift and of a second method with a later start and
+    an earlier end, cut to common ends."""
+    draws = frames.stored(survey_draws(s, d))
+    fixed = compare.per_capita_bands(draws, BACKSHIFT_TAG)
+    other = compare.per_capita_bands(
+        draws.withColumn("incidence", F.col("incidence") * (1.1 + F.dayofmonth("date") / 100)),
         "Deconvolution",
     )
-    return bands.filter((F.col("date") >= "2023-11-20") & (F.col("date") < "2024-02-20"))
+    other = other.filter((F.col("date") >= "2023-11-20") & (F.col("date") < "2024-02-20"))
+    return deconvolution.align_end_dates(fixed, other)
 
 
 def trend_inputs(s: SparkSession, d: str) -> DataFrame:
@@ -368,7 +368,7 @@ def q_fit_mrp_saturated(s, d):
 
 
 def _fit_parts(s, d):
-    cells = I.cells(s, d)
+    cells = frames.stored(I.cells(s, d))
     return cells, mrp.fit_mrp(cells)
 
 
@@ -644,7 +644,7 @@ def q_deconvolution_bands(s, d):
 
 @query
 def q_deconvolved_incidence_bands(s, d):
-    solved = deconvolved(s, d)
+    solved = frames.stored(deconvolved(s, d))
     return deconvolution.deconvolution_bands(
         deconvolution.stack_national(solved, deconvolution.national_weighted(solved))
     )
@@ -652,12 +652,12 @@ def q_deconvolved_incidence_bands(s, d):
 
 @query
 def q_align_end_dates(s, d):
-    return deconvolution.align_end_dates(fixed_bands(s, d), scaled_bands(s, d))
+    return method_bands(s, d)
 
 
 @query
 def q_relative_difference(s, d):
-    return deconvolution.relative_difference(deconvolution.align_end_dates(fixed_bands(s, d), scaled_bands(s, d)))
+    return deconvolution.relative_difference(method_bands(s, d))
 
 
 # --- H: search trends --------------------------------------------------------
