@@ -19,7 +19,7 @@ from ..schema import (
     SYMPTOM_LABELS,
 )
 from .inputs import _FLAG_RULES, EVENT_TERMS, GROUPS, N_DRAWS
-from .registry import FIT_DRAWS
+from .registry import FIT_DRAWS, places
 
 CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
@@ -104,7 +104,7 @@ def oracle(name: str, sql: str, doubles: list[str] | None = None) -> None:
     visit(sql)
     with_clause = "WITH " + ",\n".join(f"{n} AS {_kept(n)}({CTES[n]})" for n in needed) + "\n" if needed else ""
     if doubles:
-        rounded = ", ".join(f"round({c}, 6) + 0.0E0 AS {c}" for c in doubles)
+        rounded = ", ".join(f"round({c}, {places(name, c)}) + 0.0E0 AS {c}" for c in doubles)
         sql = f"SELECT * REPLACE ({rounded}) FROM ({sql})"
     ORACLES[name] = with_clause + sql
 

@@ -27,15 +27,25 @@ QUERIES: dict[str, Query] = {}
 FIT_DRAWS = 50
 
 
-def stable(df: DataFrame, digits: int = 6) -> DataFrame:
+def places(query_name: str, column: str, digits: int = 6) -> int:
+    """Decimals compared; fewer for counts of people, which are large."""
+    counts = column in ("incidence", "diff_incidence", "p_n") or column.startswith("incidence_q")
+    return 3 if counts and not query_name.startswith("deconvolve") else digits
+
+
+def stable(df: DataFrame, query_name: str = "", digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison: sums run in no fixed order."""
     return df.select(
-        *[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[
+            (F.round(c, places(query_name, c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            for c, t in df.dtypes
+        ]
     )
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__.removeprefix("q_")] = lambda spark, sf_dir: stable(fn(spark, sf_dir))
+    name = fn.__name__.removeprefix("q_")
+    QUERIES[name] = lambda spark, sf_dir: stable(fn(spark, sf_dir), name)
     return fn
 
 
@@ -494,7 +504,7 @@ def q_draw_duration(s, d):
 @query
 def q_draw_duration_ordered(s, d):
     draws = durationfit.draw_duration(durationfit.fit_lognormal(delay_counts(s, d)), n_draws=FIT_DRAWS, shuffle=False)
-    return stable(draws, 4)  # node spacing comes from numerical curvature
+    return stable(draws, digits=4)  # node spacing comes from numerical curvature
 
 
 @query
