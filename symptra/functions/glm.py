@@ -25,7 +25,7 @@ class GPBasis:
         kernel = np.exp(-(((knots[:, None] - knots[None, :]) / self.length) ** 2))
         values, vectors = np.linalg.eigh(kernel)
         keep = np.argsort(values)[::-1][: self.size]
-        keep = keep[values[keep] > 1e-10]
+        keep = keep[values[keep] > 1e-6 * values.max()]  # smaller ones only add rounding noise
         projection = vectors[:, keep] / np.sqrt(values[keep])
         signs = np.sign(projection[np.abs(projection).argmax(axis=0), np.arange(projection.shape[1])])
         projection = projection * signs
