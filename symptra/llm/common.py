@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,16 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage: rows go to the shared checkpoint
-    folder, so no executor loss repeats the work before. A local folder is set
-    only where none is configured and Spark runs on this machine alone."""
-    sc = df.sparkSession.sparkContext
+def settled_dir(spark: SparkSession) -> None:
+    """Make sure that there is a checkpoint folder. A local one is set only
+    where none is configured and Spark runs on this machine alone."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local["):
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="symptra-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage: rows go to the shared checkpoint
+    folder, so no executor loss repeats the work before."""
+    settled_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -96,3 +102,15 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, for tables written between steps."""
+    settled_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this run wrote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
