@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import huffman, langid, lmscore, mixing, nbsvm, packing, spotsigs, toxicity
+from . import chosen_path, huffman, langid, lmscore, mixing, nbsvm, packing, spotsigs, toxicity
 from .common import run_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 WORD_BPE = "word_bpe_49k.json"
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.word_sizes(table(spark, sf_dir, "documents")))
