@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).combine_chunks().to_batches()
 
     # one task for fewer than k pieces of each class k, a bounded number
-    return whole.unionByName(left.coalesce(1).mapInArrow(finish, schema))
+    return whole.unionByName(left.repartition(1).mapInArrow(finish, schema))
 
 
 def pack_documents(
