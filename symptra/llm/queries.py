@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chosen_path, huffman, langid, lmscore, mixing, nbsvm, packing, spotsigs, toxicity
+from . import chosen_path, huffman, langid, lmscore, mixing, nbsvm, nndescent, packing, spotsigs, toxicity
 from .common import run_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
