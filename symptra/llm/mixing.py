@@ -12,15 +12,17 @@ Ranks are found without bringing a source together: ranks fall into fixed
 ranges, the ranges' words are summed, and only the documents of the one range
 in which a source's rest ends are put in order.
 
-U is a hash of doc_id and a seed, so reruns agree. An optional weight column
-makes documents of one source more or less likely: inclusion odds p / (1 - p)
-are multiplied by it.
+So the sample is described by one row per source, and every document's copies
+follow from its own row and that one, without moving texts.
+
+U is a hash of doc_id (of the text, where that is null) and a seed, so reruns
+agree. An optional weight column makes documents of one source more or less
+likely: inclusion odds p / (1 - p) are multiplied by it.
 
 Cases: a null text has size 0; documents of size 0 take nothing; a null source
-is a source of its own, last in order; null doc_ids and repeated rows are
-documents like any other (rows that are equal are interchangeable); an empty
-table gives an empty result. All columns are built by name inside, so extra
-columns of any name do no harm.
+is a source of its own, last in order; rows with equal ids in one source are
+taken together or not at all; an empty table gives an empty result. Inner
+columns start with ``_mix``, so extra columns of other names do no harm.
 """
 
 from __future__ import annotations
@@ -37,10 +39,21 @@ RANGES = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def text_size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
+def doc_key(doc_id: Column, text: Column) -> Column:
+    return F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id))
+
+
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of the whole text."""
+    """doc_id, source, the number of words of the whole text, and a key."""
     return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
+        "doc_id",
+        "source",
+        text_size(F.col("text")).alias("size"),
+        doc_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
 
 
@@ -74,6 +87,84 @@ def source_targets(
     return spark.createDataFrame(data, "source string, source_size long, target double")
 
 
+def _placed(df: DataFrame, cuts: DataFrame, size: str, key: str, seed: int, weight: Column) -> DataFrame:
+    """Adds a source's row, and the rank and range of each document."""
+    # cuts: one row per source
+    df = df.join(F.broadcast(cuts), df["source"].eqNullSafe(cuts["_mix_source"]), "left")
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    df = df.withColumn("_mix_u", uniform)
+    odds = F.col("_mix_part") / (1 - F.col("_mix_part")) * F.greatest(weight, F.lit(1e-9))
+    sampled = (F.col("_mix_part") > 0) & (F.col(size) > 0)
+    df = df.withColumn("_mix_rank", F.when(sampled, F.col("_mix_u") / (1 - F.col("_mix_u")) / odds))
+    return df.withColumn("_mix_range", F.floor(F.col("_mix_rank") / (1 + F.col("_mix_rank")) * RANGES))
+
+
+CUTS = (
+    "_mix_source string, source_size long, target double, _mix_whole int, _mix_part double, _mix_end long, "
+    "_mix_cut_rank double, _mix_cut_key long"
+)
+
+
+def sample_cuts(
+    sizes: DataFrame, weights: Sequence[float], budget: float, most: float, seed: int, weight: Column
+) -> DataFrame:
+    """A row per source: its target, whole copies, sampled part, the range of
+    ranks in which its sample ends, and the last document taken there."""
+    spark = sizes.sparkSession
+    targets = source_targets(
+        spark, sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most
+    ).collect()
+    rows = {}
+    for r in targets:
+        expected = r["target"] / r["source_size"] if r["source_size"] else 0.0
+        whole = int(expected + 1e-9)  # a share within 1e-9 of a whole number is that number of copies
+        rows[r["source"]] = [r["source"], r["source_size"], r["target"], whole, max(expected - whole, 0.0) if expected - whole > 1e-9 else 0.0, None, None, None]
+    first = spark.createDataFrame(list(map(tuple, rows.values())), CUTS)
+    docs = _placed(sizes, first, "size", "key", seed, weight).filter(F.col("_mix_rank").isNotNull())
+    by_range = docs.groupBy("source", "_mix_range").agg(
+        F.sum("size").alias("_words"), F.first(F.col("_mix_part") * F.col("source_size")).alias("_rest")
+    )
+    order = W.partitionBy("source").orderBy("_mix_range")  # at most RANGES rows a source
+    ends = (
+        by_range.withColumn("_before", F.sum("_words").over(order) - F.col("_words"))
+        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest")))
+        .select(F.col("source").alias("_s"), F.col("_mix_range").alias("_e"), "_before", "_rest")
+    )
+    ends = settled(ends)  # at most one row per source
+    last = docs.join(F.broadcast(ends), docs["source"].eqNullSafe(ends["_s"]) & (F.col("_mix_range") == F.col("_e")))
+    # take a document if that brings the sum nearer to the rest; equal ones together
+    run = W.partitionBy("source").orderBy("_mix_rank", "key")
+    near = F.col("_before") + F.sum("size").over(run) - F.col("size") / 2 <= F.col("_rest")
+    taken = last.withColumn("_near", near).filter("_near").groupBy("source").agg(
+        F.max(F.struct("_mix_rank", "key")).alias("_last")
+    )
+    for r in ends.collect():
+        rows[r["_s"]][5] = r["_e"]
+    for r in taken.collect():
+        rows[r["source"]][6:] = [r["_last"]["_mix_rank"], r["_last"]["key"]]
+    return spark.createDataFrame(list(map(tuple, rows.values())), CUTS)
+
+
+def with_copies(
+    df: DataFrame, cuts: DataFrame, size: str, key: str, seed: int, weight: Column
+) -> DataFrame:
+    """Adds ``copies``, source_size and target."""
+    df = _placed(df, cuts, size, key, seed, weight)
+    inside = F.struct("_mix_rank", F.col(key).alias("k")) <= F.struct(
+        F.col("_mix_cut_rank").alias("_mix_rank"), F.col("_mix_cut_key").alias("k")
+    )
+    sampled = (
+        F.when(F.col("_mix_rank").isNull(), False)
+        .when(F.col("_mix_end").isNull(), True)  # the part is the whole source, up to rounding
+        .when(F.col("_mix_range") == F.col("_mix_end"), F.col("_mix_cut_rank").isNotNull() & inside)
+        .otherwise(F.col("_mix_range") < F.col("_mix_end"))
+    )
+    copies = F.when(F.col(size) > 0, F.col("_mix_whole") + sampled.cast("int")).otherwise(0)
+    return df.withColumn("copies", copies.cast("int")).drop(
+        "_mix_source", "_mix_whole", "_mix_part", "_mix_end", "_mix_cut_rank", "_mix_cut_key", "_mix_u", "_mix_rank", "_mix_range"
+    )
+
+
 def mix(
     sizes: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
@@ -84,64 +175,31 @@ def mix(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, source) per document.
 
-    ``sizes`` has doc_id, source and size, and ``doc_weight`` if one is named."""
-    spark = sizes.sparkSession
+    ``sizes`` has doc_id, source, size and key, and ``doc_weight`` if one is
+    named."""
     weight = F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0)) if doc_weight else F.lit(1.0)
-    kept = settled(
-        sizes.select(
-            "doc_id",
-            "source",
-            "size",
-            F.greatest(weight, F.lit(1e-9)).alias("_weight"),
-            # 52 hashed bits, never 0 or 1
-            ((F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)).alias("_u"),
-        )
-    )
-    targets = source_targets(
-        spark, kept.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most
-    )
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # a row of three numbers per source
-    docs = kept.join(F.broadcast(targets), kept["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    # a share within 1e-9 of a whole number is that number of copies
-    docs = docs.withColumn("_whole", F.floor(expected + 1e-9)).withColumn("_part", F.greatest(expected - F.col("_whole"), F.lit(0.0)))
-    odds = F.col("_part") / (1 - F.col("_part")) * F.col("_weight")
-    docs = docs.withColumn("_rank", F.when(F.col("_part") > 0, F.col("_u") / (1 - F.col("_u")) / odds))
-    docs = docs.withColumn("_range", F.floor(F.col("_rank") / (1 + F.col("_rank")) * RANGES))
-    sampled = docs.filter((F.col("_part") > 0) & (F.col("size") > 0))
-    by_range = sampled.groupBy("source", "_range").agg(
-        F.sum("size").alias("_words"), F.first(F.col("_part") * F.col("source_size")).alias("_rest")
-    )
-    order = W.partitionBy("source").orderBy("_range")  # at most RANGES rows a source
-    ends = (
-        by_range.withColumn("_before", F.sum("_words").over(order) - F.col("_words"))
-        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest")))
-        .select(F.col("source").alias("_s"), F.col("_range").alias("_end"), "_before", "_rest")
-    )
-    # at most one row per source: the range in which its sample ends
-    placed = docs.join(F.broadcast(ends), docs["source"].eqNullSafe(ends["_s"]), "left").drop("_s")
-    inside = (F.col("_range") == F.col("_end")) & (F.col("size") > 0)
-    last = placed.filter(inside)
-    run = W.partitionBy("source").orderBy("_rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # take a document if that brings the sum nearer to the rest
-    near = F.col("_before") + F.sum("size").over(run) - F.col("size") / 2 <= F.col("_rest")
-    last = last.withColumn("_sampled", near.cast("int"))
-    rest = placed.filter(~F.coalesce(inside, F.lit(False))).withColumn(
-        "_sampled",
-        # no range holds the end only if the whole source is taken by rounding
-        F.when((F.col("_part") > 0) & F.coalesce(F.col("_range") < F.col("_end"), F.col("_end").isNull()), 1).otherwise(0),
-    )
-    copies = F.when(F.col("size") > 0, F.col("_whole") + F.col("_sampled")).otherwise(0).cast("int")
-    return (
-        last.unionByName(rest)
-        .withColumn("copies", copies)
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            "copies",
-            (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-            "source",
-        )
+    kept = settled(sizes.select("doc_id", "source", "size", "key", *([doc_weight] if doc_weight else [])))
+    cuts = sample_cuts(kept, weights, budget, most, seed, weight)
+    return with_copies(kept, cuts, "size", "key", seed, weight).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "copies",
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        "source",
     )
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: float = 2.0, seed: int = 20
+) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, all columns."""
+    sizes = settled(word_sizes(docs).select("source", "size", "key"))
+    cuts = sample_cuts(sizes, weights, budget, most, seed, F.lit(1.0))
+    names = docs.columns
+    df = docs.withColumn("_mix_size", text_size(F.col("text"))).withColumn("_mix_key", doc_key(F.col("doc_id"), F.col("text")))
+    cuts = cuts.drop("target").withColumnRenamed("source_size", "_mix_source_size")
+    df = with_copies(df.withColumnsRenamed({"copies": "_mix_copies0"}) if "copies" in names else df, cuts, "_mix_size", "_mix_key", seed, F.lit(1.0))
+    df = df.filter("copies > 0").withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return df.select(*[F.col("_mix_copies0").alias(c) if c == "copies" else F.col(c) for c in names])
