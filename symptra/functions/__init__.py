@@ -16,7 +16,6 @@ from .frames import (
     quantile_bands,
     ranked_quantiles,
     shared_dir,
-    small_side,
     stored,
     with_draws,
     with_range_bucket,
@@ -34,7 +33,6 @@ __all__ = [
     "quantile_bands",
     "ranked_quantiles",
     "shared_dir",
-    "small_side",
     "stored",
     "strict",
     "strict_sum",

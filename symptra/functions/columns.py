@@ -127,3 +127,18 @@ def format_interval(
         format_significant(high, digits, pad),
         F.lit("]"),
     )
+
+
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b as floating-point numbers divide: a zero divisor gives plus or
+    minus infinity, or NaN for 0 / 0, and never ends the job. Bands leave NaN
+    out and keep infinite values as the largest or smallest."""
+    a = (F.col(a) if isinstance(a, str) else a).cast("double")
+    b = (F.col(b) if isinstance(b, str) else b).cast("double")
+    at_zero = (
+        F.when(a.isNull(), F.lit(None).cast("double"))
+        .when(F.isnan(a) | (a == 0), F.lit(float("nan")))
+        .when(a > 0, F.lit(float("inf")))
+        .otherwise(F.lit(float("-inf")))
+    )
+    return F.when(b == 0, at_zero).otherwise(a / b)

@@ -1,8 +1,11 @@
-"""DataFrame helpers: grouped quantiles, draw expansion, size-checked joins."""
+"""DataFrame helpers: grouped quantiles, draw expansion, null-safe joins."""
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,14 +17,16 @@ from pyspark.sql import functions as F
 from ..schema import BANDS
 from .columns import bands, unpack_bands
 
-SMALL_SIDE_ROWS = 200_000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where none is configured."""
+    """The folder all executors see. Where none is configured, a local one is
+    made for a session on this machine alone, and removed at its end."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="symptra-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -35,17 +40,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows of this side.
-
-    The side is an aggregate that is needed in full before the join anyway, so
-    it is kept and counted; above ``max_rows`` the hint is left off and Spark
-    shuffles both sides (AQE then splits skewed keys).
-    """
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which NULL keys match each other; keys come from the left."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -60,35 +54,37 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> Dat
     """Add per-group aggregates to every row.
 
     A window over few, huge groups would put each group in one task; here the
-    aggregate combines map-side and comes back through a size-checked join.
+    aggregate combines map-side and comes back through a join, for which Spark
+    picks the strategy by the sizes it finds when it runs.
     """
     keys = list(keys)
     if not keys:
         return df.crossJoin(F.broadcast(df.agg(*aggs)))  # always one row
-    return null_safe_join(df, small_side(df.groupBy(*keys).agg(*aggs)), keys, "left")
+    return null_safe_join(df, df.groupBy(*keys).agg(*aggs), keys, "left")
 
 
 def with_range_bucket(df: DataFrame, order: str, buckets: int | None = None, column: str = "_bucket") -> DataFrame:
     """Number the value ranges of ``order`` (a number or date) so that each
     holds about as many rows. Defaults to four ranges per shuffle partition.
 
-    Cut points are approximate quantiles in one row; a value is placed in two
-    steps, first among every width-th cut, then among the cuts in between.
+    Cut points are approximate quantiles. They depend on the order in which
+    Spark merges partial results, so they are evaluated once, here, and used as
+    constants by all that follows. A value is placed in two steps, first among
+    every width-th cut, then among the cuts in between. NULL comes last.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = math.isqrt(max(buckets or 4 * parts, 1) - 1) + 1
     n = width * width
-    cuts = F.percentile_approx(order, [i / n for i in range(1, n + 1)], 20 * n).alias("_cuts")
-    bounds = df.agg(cuts).select("_cuts", F.expr(f"transform(sequence(1, {width}), i -> _cuts[i * {width} - 1])").alias("_tops"))
-    below = f"c -> c < `{order}`"
-    first = F.expr(f"least(size(filter(_tops, {below})), {width - 1})")
-    second = F.expr(f"size(filter(slice(_cuts, _first * {width} + 1, {width}), {below}))")
-    return (
-        df.crossJoin(F.broadcast(bounds))  # one row
-        .withColumn("_first", F.coalesce(first, F.lit(0)))
-        .withColumn(column, F.col("_first") * width + F.coalesce(second, F.lit(0)))
-        .drop("_cuts", "_tops", "_first")
-    )
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n + 1)], 20 * n)).first()[0]
+    if not cuts:
+        return df.withColumn(column, F.lit(0))  # no value, or no row
+    constant = F.array(*[F.lit(c) for c in cuts])
+    tops = F.array(*[F.lit(c) for c in cuts[width - 1 :: width]])
+    below = lambda c: c < F.col(order)
+    first = F.least(F.size(F.filter(tops, below)), F.lit(width - 1))
+    second = F.size(F.filter(F.slice(constant, F.col("_first") * width + 1, width), below))
+    place = F.when(F.col(order).isNull(), n + 1).otherwise(F.col("_first") * width + second)
+    return df.withColumn("_first", first).withColumn(column, place).drop("_first")
 
 
 def ranked_quantiles(
@@ -114,7 +110,7 @@ def ranked_quantiles(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(value)
     ranks = null_safe_join(
-        ranged.withColumn("_end", F.sum("_n").over(inside)), small_side(offsets), [*keys, "_bucket"], "left"
+        ranged.withColumn("_end", F.sum("_n").over(inside)), offsets, [*keys, "_bucket"], "left"
     ).withColumn("_end", F.col("_end") + F.col("_before"))
 
     def at(rank: Column) -> Column:
@@ -145,6 +141,8 @@ def quantile_bands(
     of raw rows. ``accuracy`` switches to the bounded sketch, for exploration.
     """
     keys = list(keys)
+    if dict(df.dtypes)[value] == "double":
+        df = df.withColumn(value, F.when(~F.isnan(value), F.col(value)))
     agg = bands(value, prefix, probs)
     if accuracy is not None:
         agg = F.percentile_approx(value, list(probs.values()), accuracy).alias(f"_{prefix}")

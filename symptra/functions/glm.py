@@ -21,7 +21,10 @@ class GPBasis:
     size: int = 10
 
     def _projection(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        knots = np.unique(np.linspace(1, self.t_max, min(self.t_max, 500)).round())
+        # every day, or, for long series, days at most an eighth of the length
+        # scale apart, which the kernel does not tell from every day
+        count = max(500, int(np.ceil(8 * self.t_max / self.length)))
+        knots = np.unique(np.linspace(1, self.t_max, min(self.t_max, count)).round())
         kernel = np.exp(-(((knots[:, None] - knots[None, :]) / self.length) ** 2))
         values, vectors = np.linalg.eigh(kernel)
         keep = np.argsort(values)[::-1][: self.size]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import bands, format_interval, strict_sum, unpack_bands
+from ..functions.columns import bands, format_interval, ratio, strict_sum, unpack_bands
 from ..functions.frames import quantile_bands
 from ..schema import AGE_GROUPS_WITH_ALL, ALL_AGES, BANDS_90, FIGURE_ORDER, MODELLED_SYMPTOMS, SEARCH_TAG
 from .survey import filter_symptoms_regex, harmonise_symptoms, label_symptoms, with_category_rank
@@ -42,7 +42,7 @@ def with_all_ages(incidence: DataFrame) -> DataFrame:
 
 def per_capita_bands(samples: DataFrame, tag: str | None = None) -> DataFrame:
     """Bands of daily incidence per 1,000 people; tagged by age group or ``tag``."""
-    rate = samples.withColumn("incidence", F.col("incidence") * 1000 / F.col("population"))
+    rate = samples.withColumn("incidence", ratio(F.col("incidence") * 1000, "population"))
     return quantile_bands(rate, "incidence", ["symptom", "age_group", "date"]).withColumn(
         "data", F.col("age_group") if tag is None else F.lit(tag)
     )
@@ -57,7 +57,7 @@ def _growth_rates(df: DataFrame, value: str, keys: Sequence[str], out: str) -> D
         prev.filter(F.col("_d").isNotNull())
         .withColumn("diff_time", F.datediff("date", "_d").cast("double"))
         .withColumn("diff_incidence", F.col(value) - F.col("_v"))
-        .withColumn(out, F.col("diff_incidence") / F.col("diff_time") / F.col(value) * 100)
+        .withColumn(out, ratio(F.col("diff_incidence") / F.col("diff_time"), value) * 100)
         .drop("_d", "_v")
     )
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import lognormal_density, normal_cdf, strict_sum
+from ..functions.columns import lognormal_density, normal_cdf, ratio, strict_sum
 from ..functions.frames import quantile_bands
 from ..schema import ALL_AGES, DISTRIBUTION_DAYS
 from .duration import with_expected_duration
@@ -35,16 +35,27 @@ def delay_pmf(draws: DataFrame, size: int = DISTRIBUTION_DAYS, pmf: str = "densi
 
 def richardson_lucy(
     observed: np.ndarray, pmf: np.ndarray, tol: float, max_iter: int, scale: float = 1.0
-) -> np.ndarray:
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Deconvolve many series (rows) of equal length at once.
 
     State covers the ``d`` days before the first observation as well, where
     d + 1 is the number of delay days. It starts from the observations moved
     back by the most likely delay, edges repeated. A series stops when its mean
     (expected - observed)^2 / expected falls below ``tol``. Days whose cases
-    cannot have been observed yet come out as NaN.
+    cannot have been observed yet come out as NaN. A series with an unknown day
+    or delay weight cannot be deconvolved: all its days are NaN.
+
+    Also returns the number of updates and the last mean per series; a series
+    has converged if that is below ``tol``.
     """
     rows, n = observed.shape
+    known = np.isfinite(observed).all(axis=1) & np.isfinite(pmf).all(axis=1)
+    updates, fit = np.zeros(rows, int), np.full(rows, np.nan)
+    if not known.all():
+        out = np.full((rows, n), np.nan)
+        if known.any():
+            out[known], updates[known], fit[known] = richardson_lucy(observed[known], pmf[known], tol, max_iter, scale)
+        return out, updates, fit
     d = pmf.shape[1] - 1
     data = observed * scale
     mode = pmf.argmax(axis=1)
@@ -70,12 +81,14 @@ def richardson_lucy(
         update = np.where(np.isnan(update), s, update)
         going = chisq >= tol
         index = np.flatnonzero(live)
+        fit[index] = chisq
+        updates[index[going]] += 1
         state[index[going]] = update[going]
         live[index[~going]] = False
         if not live.any():
             break
     state = np.where(seen > 0, state, np.nan)
-    return state[:, d:] / scale
+    return state[:, d:] / scale, updates, fit
 
 
 def deconvolve(
@@ -84,12 +97,16 @@ def deconvolve(
     tol: float = 1e-4,
     max_iter: int = 32,
     scale: float = 1.0,
+    status: bool = False,
 ) -> DataFrame:
     """Richardson-Lucy incidence for every symptom, age group and draw.
 
     Each series (one row per study day) is packed into one row; tasks then
     work on batches of series as matrices. ``t`` counts the rows of a series
-    from 1. ``scale`` multiplies the data for the stopping rule only.
+    from 1. ``scale`` multiplies the data for the stopping rule only. A series
+    without delay weights, or with an unknown day, has unknown incidence
+    throughout. ``status`` adds the updates made, the last fit (unknown where
+    the series was not deconvolved) and whether it fell below ``tol``.
     """
     parts = int(prevalence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = prevalence.repartition(parts, *SERIES)  # small rows, long work: keep all tasks
@@ -100,26 +117,37 @@ def deconvolve(
         *SERIES,
         F.transform("_s", lambda s: s["prevalence"]).alias("_y"),
         F.col("_s")[0]["population"].alias("population"),
-    ).join(delays.select(*SERIES, "exp_dur", "delay_pmf"), SERIES, "inner")
+    ).join(delays.select(*SERIES, "exp_dur", "delay_pmf"), SERIES, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lengths = pdf["_y"].map(len)
             for _, part in pdf.groupby(lengths):
-                y = np.stack(part["_y"].to_numpy())
-                pmf = np.stack(part["delay_pmf"].to_numpy())
-                out = richardson_lucy(y, pmf, tol, max_iter, scale) / part["exp_dur"].to_numpy()[:, None]
-                yield part[[*SERIES, "population"]].reset_index(drop=True).assign(_i=list(out))
+                y = np.stack([np.asarray(v, float) for v in part["_y"]])
+                weights = [None if v is None else np.asarray(v, float) for v in part["delay_pmf"]]
+                days = max((len(v) for v in weights if v is not None), default=1)
+                pmf = np.stack([np.full(days, np.nan) if v is None else v for v in weights])
+                state, updates, fit = richardson_lucy(y, pmf, tol, max_iter, scale)
+                out = state / part["exp_dur"].to_numpy(float)[:, None]
+                keys = part[[*SERIES, "population"]].reset_index(drop=True)
+                yield keys.assign(_i=list(out), updates=updates, fit=fit)
 
     types = dict(packed.dtypes)
     keys = ", ".join(f"{c} {types[c]}" for c in [*SERIES, "population"])
-    solved = packed.mapInPandas(run, f"{keys}, _i array<double>")
-    rows = solved.select(*SERIES, "population", F.posexplode("_i").alias("_p", "_v"))
+    solved = packed.mapInPandas(run, f"{keys}, _i array<double>, updates int, fit double")
+    extra = ["updates", "fit"] if status else []
+    rows = solved.select(*SERIES, "population", *extra, F.posexplode("_i").alias("_p", "_v"))
+    more = [
+        "updates",
+        F.when(~F.isnan("fit"), F.col("fit")).alias("fit"),
+        F.coalesce(~F.isnan("fit") & (F.col("fit") < tol), F.lit(False)).alias("converged"),
+    ]
     return rows.select(
         *SERIES,
         "population",
         (F.col("_p") + 1).alias("t"),
         F.when(~F.isnan("_v"), F.col("_v")).alias("incidence"),
+        *(more if status else []),
     )
 
 
@@ -134,7 +162,7 @@ def national_weighted(df: DataFrame) -> DataFrame:
     """Population-weighted incidence over ages, as age group "All"."""
     return (
         df.groupBy("date", "symptom", "draw")
-        .agg((strict_sum(F.col("incidence") * F.col("population")) / strict_sum("population")).alias("incidence"))
+        .agg(ratio(strict_sum(F.col("incidence") * F.col("population")), strict_sum("population")).alias("incidence"))
         .withColumn("age_group", F.lit(ALL_AGES))
     )
 
@@ -171,5 +199,5 @@ def relative_difference(
         .agg(*[F.first(c).alias(c) for c in values])
     )
     wide = wide.withColumnsRenamed({f"{m}_{c}": f"{c}_{m}" for c in values for m in "fd"})
-    diffs = {f"diff_{p}": (F.col(f"pi_{p}_f") - F.col(f"pi_{p}_d")) / F.col(f"pi_{p}_d") for p in probs}
+    diffs = {f"diff_{p}": ratio(F.col(f"pi_{p}_f") - F.col(f"pi_{p}_d"), F.col(f"pi_{p}_d")) for p in probs}
     return wide.withColumns(diffs)

@@ -56,7 +56,7 @@ def _terms(delays: DataFrame, keys: Sequence[str], truncate: bool) -> DataFrame:
 
     Truncation enters as terms with negative n, so the two terms are summed
     on their own and never multiplied. Intervals that end before the onset are
-    impossible and dropped. A stratum holds at most one term per pair of study
+    impossible and dropped; :func:`impossible_delays` counts them. A stratum holds at most one term per pair of study
     days, whatever the number of submissions.
     """
     valid = delays.filter(F.col("delay_upr") > 0)
@@ -77,6 +77,15 @@ def _terms(delays: DataFrame, keys: Sequence[str], truncate: bool) -> DataFrame:
     )
 
 
+def impossible_delays(delays: DataFrame, keys: Sequence[str] = ("symptom", "age_group")) -> DataFrame:
+    """Per stratum: submissions whose interval ends before the onset, which the
+    likelihood leaves out, and all submissions."""
+    out = F.coalesce(F.col("delay_upr") <= 0, F.lit(True))
+    return delays.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).alias("n_dropped"), F.sum("n").alias("n_all")
+    )
+
+
 def normal_cdf(x: np.ndarray) -> np.ndarray:
     """Standard normal CDF of an array, to about 1e-15."""
     a = np.abs(x)

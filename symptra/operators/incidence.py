@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import strict, strict_sum
+from ..functions.columns import ratio, strict, strict_sum
 from ..functions.frames import attach_group_stats, quantile_bands
 from .survey import first_underscore_to_space
 
@@ -13,7 +13,7 @@ from .survey import first_underscore_to_space
 def prevalence_age_draws(samples: DataFrame) -> DataFrame:
     """Prevalence and population per symptom, date, draw and age group."""
     return samples.groupBy("symptom", F.col("submitted_at").alias("date"), "draw", "age_group").agg(
-        (strict_sum("p_n") / strict_sum("population")).alias("prevalence"),
+        ratio(strict_sum("p_n"), strict_sum("population")).alias("prevalence"),
         strict_sum("population").alias("population"),
     )
 
@@ -34,7 +34,7 @@ def backshift_incidence(prevalence: DataFrame, durations: DataFrame) -> DataFram
             ["symptom", "age_group", "draw"],
             "left",
         )
-        .withColumn("incidence", F.col("prevalence") * F.col("population") / F.col("exp_dur"))
+        .withColumn("incidence", ratio(F.col("prevalence") * F.col("population"), "exp_dur"))
         .withColumn("report_date", F.col("date"))
         .withColumn("date", F.date_sub("report_date", _half(F.col("exp_dur"))))
     )

@@ -24,7 +24,6 @@ from ..schema import AGE_GROUPS, REGIONS
 from .prevalence import poststratify
 
 N_DRAWS = 1000
-MAX_WINDOWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -314,9 +313,8 @@ def prevalence_draws(
     """
     draws, t_max = _coefficient_draws(fit, n_draws, seed)
     design = Design(spec, t_max)
-    rows = weights.limit(MAX_WINDOWS + 1).collect()
-    if len(rows) > MAX_WINDOWS:
-        raise ValueError("too many window days: use draw_linear_predictor and reweight_window")
+    # one row per symptom and window day of the study
+    rows = weights.select("symptom", "window_submission", "window_weight").collect()
     table: dict[str, list[tuple[float, float]]] = {}
     for r in rows:
         day = np.nan if r["window_submission"] is None else float(r["window_submission"])

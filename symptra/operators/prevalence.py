@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import bands, inverse_logit as _inverse_logit, strict_sum, unpack_bands
-from ..functions.frames import attach_group_stats, null_safe_join, small_side
+from ..functions.columns import bands, inverse_logit as _inverse_logit, ratio, strict_sum, unpack_bands
+from ..functions.frames import attach_group_stats, null_safe_join
 from ..schema import AGE_GROUPS, ALL_AGES, MODELLED_SYMPTOMS, REGIONS
 from .survey import strip_prefix, with_age_group, with_category_rank
 
@@ -44,7 +44,7 @@ def window_weights(cells: DataFrame, weight_by: str = "cells", by: Sequence[str]
     size = F.count(F.lit(1)) if weight_by == "cells" else F.sum("n_trials")
     counted = cells.groupBy(*by, "window_submission").agg(size.alias("window_n"))
     total = F.sum("window_n").over(W.partitionBy(*by))
-    return counted.select(*by, "window_submission", (F.col("window_n") / total).alias("window_weight"))
+    return counted.select(*by, "window_submission", ratio("window_n", total).alias("window_weight"))
 
 
 def _levels(column: str, order: Sequence[str] | None) -> Column:
@@ -100,7 +100,7 @@ def attach_covariates(samples: DataFrame, grid: DataFrame) -> DataFrame:
 def reweight_window(samples: DataFrame, weights: DataFrame, by: Sequence[str] = ("symptom",)) -> DataFrame:
     """Average the probabilities over window days with the given weights."""
     keys = [*by, "submitted_at", "draw", "region_name", "age_group"]
-    joined = null_safe_join(samples, small_side(weights), [*by, "window_submission"], "left")
+    joined = null_safe_join(samples, weights, [*by, "window_submission"], "left")
     return joined.groupBy(*keys).agg(strict_sum(F.col("p") * F.col("window_weight")).alias("p"))
 
 
@@ -114,7 +114,7 @@ def poststratify(samples: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def _rate() -> Column:
-    return (strict_sum("p_n") / strict_sum("population")).alias("p")
+    return ratio(strict_sum("p_n"), strict_sum("population")).alias("p")
 
 
 def _breakdown(samples: DataFrame, extra: Sequence[str], tag: str) -> DataFrame:
@@ -155,7 +155,7 @@ def prevalence_summary(samples: DataFrame) -> DataFrame:
         by_age.withColumns({"region_name": none, "breakdown": F.lit("age")})
         .unionByName(by_region.withColumns({"age_group": none, "breakdown": F.lit("region")}))
         .unionByName(nation.withColumns({"age_group": none, "region_name": none, "breakdown": F.lit("nation")}))
-        .withColumn("p", F.col("p_n") / F.col("population"))
+        .withColumn("p", ratio("p_n", "population"))
     )
     keys = ["symptom", "submitted_at", "age_group", "region_name", "breakdown"]
     return (

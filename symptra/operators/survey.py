@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.frames import null_safe_join, small_side, with_range_bucket
+from ..functions.frames import null_safe_join, with_range_bucket
 from ..schema import (
     AGE_GROUPS,
     EXCLUDED_REGION,
@@ -78,9 +78,9 @@ def add_row_id(
     counts = ranged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_pos", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(order)))
+    numbered = ranged.withColumn("_pos", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(F.asc_nulls_last(order))))
     return (
-        null_safe_join(numbered, small_side(offsets), [*keys, "_bucket"], "left")
+        null_safe_join(numbered, offsets, [*keys, "_bucket"], "left")
         .withColumn(column, F.col("_before") + F.col("_pos"))
         .drop("_bucket", "_pos", "_before")
     )
@@ -115,8 +115,8 @@ def filter_study(
 def with_category_rank(df: DataFrame, column: str, levels: Sequence[str], rank: str | None = None) -> DataFrame:
     """Ordered category: adds its 1-based rank; a value outside the levels
     becomes NULL, as does its rank."""
-    listed = ", ".join(f"'{v}'" for v in levels)
-    pos = F.expr(f"CAST(nullif(array_position(array({listed}), `{column}`), 0) AS INT)")
+    listed = F.array(*[F.lit(v) for v in levels])
+    pos = F.nullif(F.array_position(listed, F.col(column)), F.lit(0)).cast("int")
     return df.withColumns(
         {rank or f"{column}_rank": pos, column: F.when(pos.isNotNull(), F.col(column))}
     )

@@ -212,7 +212,7 @@ cte(
   SELECT symptom, age_group, draw, (5 * ln(4.0E0) + COALESCE(s1, 0)) / (5 + COALESCE(n, 0)) AS mu,
     (5 * (ln(4.0E0) * ln(4.0E0) + 0.49E0) + COALESCE(s2, 0)) / (5 + COALESCE(n, 0)) AS m2
   FROM symptom_dim CROSS JOIN age_dim CROSS JOIN draw_dim LEFT JOIN dur_count USING (symptom, age_group, draw))
-""".replace("SELECT symptom, age_group, draw, (5", "SELECT symptom, age_group, draw, (5"),
+""",
 )
 cte("dur_exp", "SELECT *, exp(mu + sigma * sigma / 2) AS exp_dur FROM dur_draws")
 cte(
@@ -487,6 +487,11 @@ cte("dur_cells", interval_cells("3"))
 cte("delay_table", delay_counts("SELECT * FROM dur_cells", ["symptom"]))
 oracle("duration_cells", "SELECT * FROM dur_cells")
 oracle("delay_cells", "SELECT * FROM delay_table")
+oracle(
+    "impossible_delays",
+    """SELECT symptom, age_group, CAST(SUM(CASE WHEN delay_upr > 0 THEN 0 ELSE n END) AS BIGINT) AS n_dropped,
+  CAST(SUM(n) AS BIGINT) AS n_all FROM delay_table GROUP BY 1, 2""",
+)
 cte(
     "ext_cells",
     interval_cells(

@@ -491,6 +491,11 @@ def q_delay_cells(s, d):
     return delay_counts(s, d)
 
 
+@query
+def q_impossible_delays(s, d):
+    return durationfit.impossible_delays(delay_counts(s, d))
+
+
 @query
 def q_fit_lognormal(s, d):
     return durationfit.posterior_summary(durationfit.fit_lognormal(delay_counts(s, d)))

@@ -14,21 +14,28 @@ from ..schema import POPULATION, SEARCH_TRENDS, STUDY_END, STUDY_START, SUBMISSI
 
 
 def read_latest_snapshot(spark: SparkSession, glob: str, schema: StructType | None = None) -> DataFrame:
-    """The most recently modified file of a snapshot family.
+    """The newest snapshot of a family, with all its files.
 
-    Only file listings are inspected to choose it; no contents are read.
+    Each match of ``glob`` is a snapshot: a file, or a folder of part files.
+    Its time is that of its latest data file. Only file listings are inspected
+    to choose it; no contents are read.
     """
-    newest = (
-        spark.read.format("binaryFile")
-        .load(glob)
-        .select("path", "modificationTime")
-        .orderBy(F.desc("modificationTime"), F.desc("path"))
-        .first()
-    )
-    if newest is None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for match in fs.globStatus(root) or []:
+        files = fs.listFiles(match.getPath(), True)
+        times = []
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                times.append(f.getModificationTime())
+        if times:
+            found.append((max(times), match.getPath().toString()))
+    if not found:
         raise FileNotFoundError(glob)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(newest["path"])
+    return reader.parquet(max(found)[1])
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:

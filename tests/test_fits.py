@@ -140,7 +140,8 @@ def test_deconvolution_is_positive_and_convolves_back():
     truth = 0.01 * (1.5 + np.sin(t / 15))
     observed = np.array([sum(pmf[k] * truth[i + 60 - k] for k in range(61)) for i in range(114)])
     stack, weights = np.stack([observed, observed * 2]), np.stack([pmf, pmf])
-    out = deconvolution.richardson_lucy(stack, weights, tol=1e-12, max_iter=200)
+    out, updates, fit = deconvolution.richardson_lucy(stack, weights, tol=1e-12, max_iter=200)
+    assert (updates == 200).all() and (fit < 1e-6).all()
     assert out.shape == (2, 114) and np.isnan(out[:, -1]).all() and (out[:, :-1] >= 0).all()
     assert np.abs(out[0, 20:80] / truth[80:140] - 1).max() < 0.03
     assert np.allclose(out[1, :-1], 2 * out[0, :-1])
@@ -179,3 +180,29 @@ def test_trend_edges_and_repeated_rows(spark):
     two = trends.fit_trend(doubled).first()
     assert np.isfinite(one["beta"]).all() and np.isfinite(two["beta"]).all()
     assert trends.trend_samples(trends.fit_trend(base), base, n_draws=2).filter("fitted is null").count() == 0
+
+
+def test_deconvolution_marks_unknown_series(spark):
+    days = [DAY0 + dt.timedelta(days=i) for i in range(6)]
+    rows = [("cough", "a", 1, d, None if i == 3 else 0.1, 10.0) for i, d in enumerate(days)]
+    rows += [("cough", "b", 1, d, 0.1, 10.0) for d in days] + [("fever", "b", 1, d, 0.1, 10.0) for d in days]
+    prevalence = spark.createDataFrame(rows, "symptom string, age_group string, draw int, date date, prevalence double, population double")
+    draws = spark.createDataFrame([("cough", "a", 1, 1.0, 0.5), ("cough", "b", 1, 1.0, 0.5)], "symptom string, age_group string, draw int, mu double, sigma double")
+    out = deconvolution.deconvolve(prevalence, deconvolution.delay_pmf(draws, 3), status=True).collect()
+    of = lambda s, a: [r for r in out if (r["symptom"], r["age_group"]) == (s, a)]
+    for key in (("cough", "a"), ("fever", "b")):
+        assert len(of(*key)) == 6 and all(r["incidence"] is None and r["fit"] is None and r["converged"] is False for r in of(*key))
+    assert any(r["incidence"] is not None for r in of("cough", "b")) and of("cough", "b")[0]["fit"] is not None
+
+
+def test_basis_of_a_long_series_keeps_its_resolution():
+    from symptra.functions.glm import GPBasis
+
+    t = np.arange(1, 601)
+    evaluate, k = GPBasis(600, 60.0, 6).evaluator()
+    full = np.exp(-(((t[:, None] - t[None, :]) / 60.0) ** 2))
+    values, vectors = np.linalg.eigh(full)
+    top = vectors[:, np.argsort(values)[::-1][:k]] * np.sqrt(np.sort(values)[::-1][:k])
+    got = evaluate(t)
+    top = top - top.mean(axis=0)
+    assert np.allclose(np.abs((got * top).sum(axis=0)), (top * top).sum(axis=0), rtol=0.02)

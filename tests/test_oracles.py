@@ -25,6 +25,7 @@ QUICK = [
     "prevalence_summary",
     "fit_mrp_saturated",
     "delay_cells",
+    "impossible_delays",
     "draw_duration_ordered",
     "mean_duration_table",
     "trim_common_support",

@@ -80,10 +80,46 @@ def test_strict_sum_and_null_safe_joins(spark):
     assert got == {("a", 1): 20, ("a", None): 20, (None, 3): 10}
 
 
-def test_small_side_falls_back_to_a_shuffled_join(spark):
-    df = spark.range(100)
-    assert "broadcast" in frames.small_side(df)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in frames.small_side(df, max_rows=10)._jdf.queryExecution().logical().toString().lower()
+def test_no_job_or_cache_for_a_joined_statistic(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = frames.attach_group_stats(spark.range(100).withColumn("k", F.col("id") % 3), ["k"], F.max("id").alias("top"))
+    assert out.filter("top < 97").count() == 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_shared_folder_is_asked_for_beyond_one_machine(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        frames.shared_dir(Session())
+
+
+def test_ids_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("v")).unionByName(spark.createDataFrame([(None,)], "v long"))
+    got = []
+    for n in (1, 7, 31):
+        rows = survey.add_row_id(df.repartition(n), "v", buckets=16).collect()
+        got.append({r["v"]: r["row_id"] for r in rows})
+    assert got[0] == got[1] == got[2]
+    assert sorted(got[0].values()) == list(range(1, 5002)) and got[0][None] == 5001
+
+
+def test_ratio_of_zeros(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None)], "a double, b double")
+    got = [r[0] for r in df.select(C.ratio("a", "b")).collect()]
+    assert got[:3] == [0.5, float("inf"), float("-inf")] and got[3] != got[3] and got[4:] == [None, None]
 
 
 def test_participants_and_waves_count_nulls(spark):
@@ -126,6 +162,11 @@ def test_latest_snapshot_and_partitioned_samples(spark, tmp_path):
     for age, f in enumerate(sorted(files, key=lambda x: "part1" not in x)):
         os.utime(f, (1_700_000_000 - age * 1000,) * 2)
     assert read_latest_snapshot(spark, f"{tmp_path}/part*/*.parquet").count() == 1
+    spark.range(2000).repartition(4).write.parquet(str(tmp_path / "snap_b"))
+    spark.range(3).write.parquet(str(tmp_path / "snap_a"))
+    for f in (tmp_path / "snap_a").glob("*"):
+        os.utime(f, (1_600_000_000,) * 2)
+    assert read_latest_snapshot(spark, f"{tmp_path}/snap_*").count() == 2000
     df = spark.createDataFrame([("cough", 1), ("fever", 2)], "symptom string, draw int")
     write_samples(df, str(tmp_path / "s"))
     plan = read_samples(spark, str(tmp_path / "s")).filter("symptom = 'cough'")
