@@ -52,6 +52,7 @@ THRESHOLD = 0.8
 SIZE = 128
 FLOOR = 0.62  # five standard errors below the threshold
 LIMIT = 256
+BLOCK = 2048
 LEVELS = 3
 DENSE = 0.5
 SPARE = 3  # places more in splits, as some may have been sampled above
@@ -210,18 +211,21 @@ def _candidates(group: pa.Table, size: int, floor: float) -> tuple[np.ndarray, n
     rows, columns = (left, right) if across else (left, left)
     found_a, found_b = [], []
     need = math.ceil(floor * size)
-    step = max(1, (1 << 22) // max(1, len(columns) * size))
+    step = max(1, (1 << 22) // max(1, len(columns)))
     for lo in range(0, len(rows), step):
         part = rows[lo : lo + step]
-        same = sig[part][:, None, :] == sig[columns][None, :, :]
-        ok = same.sum(axis=2) >= need
-        if len(before):
-            ok &= ~same[:, :, before].any(axis=2)
-        if not across:
-            ok &= columns[None, :] > part[:, None]
-        a, b = np.nonzero(ok)
-        found_a.append(part[a])
-        found_b.append(columns[b])
+        own = columns[None, :] > part[:, None] if not across else np.ones((len(part), len(columns)), bool)
+        for p in before:
+            own &= sig[part, p][:, None] != sig[columns, p][None, :]
+        a, b = np.nonzero(own)
+        a, b = part[a], columns[b]
+        for at in range(0, len(a), 1 << 15):
+            x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+            near = (sig[x] == sig[y]).sum(axis=1) >= need
+            found_a.append(x[near])
+            found_b.append(y[near])
+    if not found_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
@@ -297,7 +301,9 @@ def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFr
     return live.mapInArrow(run, "rep long, links long, other long")
 
 
-def tasks_of(classes: DataFrame, runs: int, fanout: int, size: int, limit: int, levels: int, dense: float) -> DataFrame:
+def tasks_of(
+    classes: DataFrame, runs: int, fanout: int, size: int, limit: int, block: int, levels: int, dense: float
+) -> DataFrame:
     """(bucket, pair, side, before, rep): which sets each brute-force task
     compares. ``classes`` has rep and sig."""
     level = classes.select("rep", F.lit(0).cast("long").alias("bucket"), F.array().cast("array<int>").alias("before"), "sig")
@@ -332,12 +338,12 @@ def tasks_of(classes: DataFrame, runs: int, fanout: int, size: int, limit: int,
                 )
             )
             held = held.join(judged, "bucket")
-            out = out.unionByName(_blocked(held.filter("alike"), limit))
+            out = out.unionByName(_blocked(held.filter("alike"), max(limit, block)))
             level = settled(held.filter("NOT alike").select("rep", "bucket", "before")).join(classes, "rep")
             if not level.take(1):
                 return out
         else:
-            out = out.unionByName(_blocked(held, limit))
+            out = out.unionByName(_blocked(held, max(limit, block)))
     return out
 
 
@@ -407,6 +413,7 @@ def jaccard_join(
     n: int = N,
     recall: float = 1 - 1e-6,
     limit: int = LIMIT,
+    block: int = BLOCK,
     levels: int = LEVELS,
     size: int = SIZE,
     floor: float = FLOOR,
@@ -424,7 +431,7 @@ def jaccard_join(
     # a class is known by a hash of its set
     rep = F.xxhash64("set_key")
     classes = settled(sets.select(rep.alias("rep"), "set_key", "first", "rows", "sig"))
-    tasks = settled(tasks_of(classes.select("rep", "sig"), runs, runs + SPARE, size, limit, levels, dense))
+    tasks = settled(tasks_of(classes.select("rep", "sig"), runs, runs + SPARE, size, limit, block, levels, dense))
     spread = max(parts(docs.sparkSession), 1)
     placed = tasks.join(classes.select("rep", "rows", "sig"), "rep").repartition(spread, "bucket", "pair")
     live = settled(_live(placed.sortWithinPartitions("bucket", "pair", "side", "rep"), size, floor))
