@@ -480,9 +480,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     joined = settled(jaccard_join(docs, **options))
     stay = joined.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     stay = stay.select(F.col("doc_id").alias("_stay"), "_n")
-    kept = docs.join(stay, docs["doc_id"] == F.col("_stay"))
-    once = kept.filter("_n = 1").select(*[docs[c] for c in docs.columns])
-    twice = kept.filter("_n > 1").select(*[docs[c] for c in docs.columns])
+    kept = docs.join(stay, docs["doc_id"] == stay["_stay"])
+    once = kept.filter(stay["_n"] == 1).select(*[docs[c] for c in docs.columns])
+    twice = kept.filter(stay["_n"] > 1).select(*[docs[c] for c in docs.columns])
     nameless = docs.filter(docs["doc_id"].isNull())
     if stay.filter("_n > 1").take(1):
         once = once.unionByName(twice.dropDuplicates(["doc_id"]))
