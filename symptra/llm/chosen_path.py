@@ -52,7 +52,8 @@ THRESHOLD = 0.8
 SIZE = 128
 FLOOR = 0.62  # five standard errors below the threshold
 LIMIT = 256
-BLOCK = 2048
+BLOCK = 8192
+ELEMENTS = 1 << 22  # members of the sets of a block, on average at most
 LEVELS = 3
 DENSE = 0.5
 SPARE = 3  # places more in splits, as some may have been sampled above
@@ -147,7 +148,7 @@ def _digest(data: bytes) -> str:
 
 def _sampled(sets: DataFrame, count: int, size: int) -> DataFrame:
     """A row for each set and sampled place of its bucket: (rep, parent, place
-    number, bucket). ``sets`` has rep, bucket and sig; a root's bucket is 0."""
+    number, bucket, k). ``sets`` has rep, bucket, sig and k; a root's bucket is 0."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         path = rows.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -163,11 +164,12 @@ def _sampled(sets: DataFrame, count: int, size: int) -> DataFrame:
                 rows.column("bucket").take(take),
                 pa.array(np.tile(np.arange(count, dtype=np.int32), len(path))),
                 pa.array(bucket.view(np.int64).ravel()),
+                rows.column("k").take(take),
             ],
-            ["rep", "parent", "step", "bucket"],
+            ["rep", "parent", "step", "bucket", "k"],
         )
 
-    return map_arrow(sets.select("rep", "bucket", "sig"), run, "rep long, parent long, step int, bucket long")
+    return map_arrow(sets.select("rep", "bucket", "sig", "k"), run, "rep long, parent long, step int, bucket long, k long")
 
 
 def _groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -239,9 +241,9 @@ def _live(tasks: DataFrame, size: int, floor: float) -> DataFrame:
             a, b = _candidates(group, size, floor)
             if len(a):
                 use = group.take(pa.array(np.unique(np.concatenate([a, b]))))
-                yield from use.combine_chunks().to_batches()
+                yield from use.drop_columns(["sig"]).combine_chunks().to_batches()
 
-    return tasks.mapInArrow(run, tasks.schema)
+    return tasks.mapInArrow(run, tasks.drop("sig").schema)
 
 
 def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFrame:
@@ -305,15 +307,17 @@ def tasks_of(
     classes: DataFrame, runs: int, fanout: int, size: int, limit: int, block: int, levels: int, dense: float
 ) -> DataFrame:
     """(bucket, pair, side, before, rep): which sets each brute-force task
-    compares. ``classes`` has rep and sig."""
-    level = classes.select("rep", F.lit(0).cast("long").alias("bucket"), F.array().cast("array<int>").alias("before"), "sig")
+    compares. ``classes`` has rep, sig and k."""
+    level = classes.select("rep", F.lit(0).cast("long").alias("bucket"), F.array().cast("array<int>").alias("before"), "sig", "k")
     out = None
     for depth in range(levels):
         count = runs if depth == 0 else fanout
         rows = _sampled(level, count, size)
         paths = level.select("bucket", "before").distinct() if depth else None
         rows = settled(rows)
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.first("step").alias("step"))
+        sizes = rows.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.first("parent").alias("parent"), F.first("step").alias("step")
+        )
         sizes = sizes.filter("n > 1")
         before = _places_before(sizes, paths, count, size)
         small = before.filter(F.col("n") <= limit)
@@ -326,10 +330,10 @@ def tasks_of(
         large = settled(large)
         if not large.take(1):
             return out
-        held = rows.select("rep", "bucket").join(large.select("bucket", "before", "n"), "bucket")
+        held = settled(rows.select("rep", "bucket").join(large, "bucket"))
         if depth < levels - 1:
             # agreement at the places that the bucket would sample next
-            probe = _sampled(held.join(classes, "rep").select("rep", "bucket", "sig"), fanout, size)
+            probe = _sampled(held.join(classes, "rep").select("rep", "bucket", "sig", "k"), fanout, size)
             per = probe.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("c"))
             agree = per.groupBy("parent").agg((F.sum(F.col("c") * F.col("c")) / fanout).alias("_same"))
             judged = settled(
@@ -337,11 +341,12 @@ def tasks_of(
                     "bucket", (F.col("_same") >= dense * F.col("n") * F.col("n")).alias("alike")
                 )
             )
-            held = held.join(judged, "bucket")
+            held = settled(held.join(judged, "bucket"))
             out = out.unionByName(_blocked(held.filter("alike"), max(limit, block)))
-            level = settled(held.filter("NOT alike").select("rep", "bucket", "before")).join(classes, "rep")
-            if not level.take(1):
+            split = held.filter("NOT alike").select("rep", "bucket", "before")
+            if not split.take(1):
                 return out
+            level = split.join(classes, "rep")
         else:
             out = out.unionByName(_blocked(held, max(limit, block)))
     return out
@@ -361,16 +366,19 @@ def _places_before(sizes: DataFrame, paths: DataFrame | None, count: int, size:
         own = rows.column("_own").to_pylist()
         before = [sorted({*o, *p[:s].tolist()}) for o, p, s in zip(own, at, rows.column("step").to_pylist())]
         return pa.RecordBatch.from_arrays(
-            [rows.column("bucket"), rows.column("n"), pa.array(before, pa.list_(pa.int32()))], ["bucket", "n", "before"]
+            [rows.column("bucket"), rows.column("n"), rows.column("total"), pa.array(before, pa.list_(pa.int32()))],
+            ["bucket", "n", "total", "before"],
         )
 
-    return map_arrow(sizes.select("bucket", "n", "parent", "step", "_own"), run, "bucket long, n long, before array<int>")
+    shape = "bucket long, n long, total long, before array<int>"
+    return map_arrow(sizes.select("bucket", "n", "total", "parent", "step", "_own"), run, shape)
 
 
 def _blocked(members: DataFrame, limit: int) -> DataFrame:
     """Tasks for all pairs of blocks of a large bucket: a set goes to the tasks
-    of its own block with every block."""
-    blocks = F.ceil(F.col("n") / limit).cast("int")
+    of its own block with every block. Blocks are bounded in sets and in the
+    sets' members."""
+    blocks = F.ceil(F.greatest(F.col("n") / limit, F.col("total") / ELEMENTS)).cast("int")
     df = members.withColumn("_m", blocks).withColumn("_b", F.pmod(F.xxhash64("rep", "bucket"), F.col("_m")).cast("int"))
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     low, high = F.least("_b", "_other"), F.greatest("_b", "_other")
@@ -426,17 +434,17 @@ def jaccard_join(
     rows = settled(class_table(docs, n, size))
     named = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62))
     sets = rows.filter("k > 0").groupBy("set_key").agg(
-        F.min(named).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig")
+        F.min(named).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"), F.first("k").alias("k")
     )
     # a class is known by a hash of its set
     rep = F.xxhash64("set_key")
-    classes = settled(sets.select(rep.alias("rep"), "set_key", "first", "rows", "sig"))
-    tasks = settled(tasks_of(classes.select("rep", "sig"), runs, runs + SPARE, size, limit, block, levels, dense))
+    classes = settled(sets.select(rep.alias("rep"), "set_key", "first", "rows", "sig", "k"))
+    tasks = settled(tasks_of(classes.select("rep", "sig", "k"), runs, runs + SPARE, size, limit, block, levels, dense))
     spread = max(parts(docs.sparkSession), 1)
     placed = tasks.join(classes.select("rep", "rows", "sig"), "rep").repartition(spread, "bucket", "pair")
     live = settled(_live(placed.sortWithinPartitions("bucket", "pair", "side", "rep"), size, floor))
     needed = live.select("rep").distinct().join(classes.select("rep", "set_key", "first"), "rep")
-    texts = _members(docs, rows, needed, n)
+    texts = _members(docs, rows, needed, n).join(classes.select("rep", "sig"), "rep")
     full = live.join(texts, "rep").repartition(spread, "bucket", "pair").sortWithinPartitions("bucket", "pair", "side", "rep")
     found = settled(_links(full, size, floor, threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
