@@ -66,7 +66,7 @@ def nodes_of(vectors: DataFrame, vec_id: str, vector: str, keep: int) -> DataFra
 
 def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float32) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, kind).reshape(len(column), -1)
+    return np.frombuffer(raw, kind).reshape(len(column), -1 if len(column) else 0)
 
 
 def packed(nodes: DataFrame) -> DataFrame:
@@ -320,8 +320,8 @@ def search(
                 node = group.column("cand").take(pa.array(rest)).to_numpy()  # without nulls: whole numbers
                 new = ~np.isin(node, ids)
                 q = np.frombuffer(head["v"], np.float32)
-                x = matrix(group.column("v").take(pa.array(rest[new])))
-                if len(x):
+                if new.any():
+                    x = matrix(group.column("v").take(pa.array(rest[new])))
                     ids = np.concatenate([ids, node[new]])
                     far = np.concatenate([far, ((x - q) ** 2).sum(axis=1)])
                     done = np.concatenate([done, np.zeros(int(new.sum()), bool)])
