@@ -11,14 +11,17 @@ bucket. Small buckets are compared by brute force. Larger ones are split again:
 every bucket samples ``fanout`` more places by a hash of its path, and its sets
 go to one bucket for each of them. A bucket that splitting would not thin out,
 because its sets agree at most places (the members resemble each other), or
-that is still large at the last level, is compared by brute force in blocks of
-bounded size instead, so nothing is dropped. Runs and fanout follow from the
+that is still large at the last level, is left whole. A group of near copies
+makes such buckets in every run, of nearly the same sets; so each is merged with
+the largest one that most of its sets are in, and their union, a crowd, is
+compared once by brute force in blocks of bounded size. Nothing is dropped. Runs and fanout follow from the
 target recall for pairs at the threshold: a run of roots misses such a pair
 with probability (1 - threshold) ** runs, a split one with
 (1 - threshold) ** fanout; closer pairs are missed far more rarely.
 
-Every pair is looked at once only: in the bucket of the first sampled place at
-which it agrees, at each level. So links are counted where they are found, and
+Every pair is looked at once only: in the first crowd that holds both sets, or
+else in the bucket of the first sampled place at which it agrees, at each level.
+So links are counted where they are found, and
 pairs are never listed: a bucket gives the links of each of its sets and the
 edges of a spanning forest.
 
@@ -52,7 +55,7 @@ THRESHOLD = 0.8
 SIZE = 128
 FLOOR = 0.62  # five standard errors below the threshold
 LIMIT = 256
-BLOCK = 8192
+BLOCK = 4096
 ELEMENTS = 1 << 22  # members of the sets of a block, on average at most
 LEVELS = 3
 DENSE = 0.5
@@ -172,6 +175,23 @@ def _sampled(sets: DataFrame, count: int, size: int) -> DataFrame:
     return map_arrow(sets.select("rep", "bucket", "sig", "k"), run, "rep long, parent long, step int, bucket long, k long")
 
 
+def _agreement(sets: DataFrame, count: int, size: int) -> DataFrame:
+    """(parent, c): how many pairs of a bucket's sets agree at a place that it
+    would sample next, on average. Counted in each batch before the shuffle."""
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        path = rows.column("bucket").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(path), size)
+        value = np.take_along_axis(sig, places(path, count, size), 1).astype(np.uint64)
+        step = np.tile(np.arange(count, dtype=np.uint64), len(path))
+        seen, n = np.unique(np.stack([np.repeat(path, count), step, value.ravel()], 1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in seen.T.copy()), pa.array(n)], ["parent", "step", "value", "n"])
+
+    seen = map_arrow(sets.select("bucket", "sig"), run, "parent long, step long, value long, n long")
+    per = seen.groupBy("parent", "step", "value").agg(F.sum("n").alias("n"))
+    return per.groupBy("parent").agg((F.sum(F.col("n").cast("double") * F.col("n")) / count).alias("same"))
+
+
 def _groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Rows of one key after the other, of input sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
@@ -195,11 +215,11 @@ def _groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _candidates(group: pa.Table, size: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of a task's members that are its own to decide and whose
+def _candidates(group: pa.Table, size: int, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b), ascending and in parts of bounded size, of a task's members that are its own to decide and whose
     signatures agree often enough. Members are of one block, or of two, and
-    then pairs go across. ``paths`` holds the places sampled before the one of
-    this bucket, at each level."""
+    then pairs go across. ``before`` holds the places sampled before the one of
+    this bucket, at each level; ``crowds`` those that a set is in."""
     n = group.num_rows
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(n, size)
     side = group.column("side").to_numpy()
@@ -209,26 +229,42 @@ def _candidates(group: pa.Table, size: int, floor: float) -> tuple[np.ndarray, n
     pair = int(group.column("pair")[0].as_py())
     across = pair > 0 and pair >> 31 != (pair & ((1 << 31) - 1)) - 1
     if not len(left) or across and not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     rows, columns = (left, right) if across else (left, left)
-    found_a, found_b = [], []
+    home = int(group.column("bucket")[0].as_py()) if pair else None
+    others: dict[int, list[int]] = {}
+    for i, crowds in enumerate(group.column("crowds").to_pylist()):
+        for c in crowds or ():
+            if home is None or c < home:
+                others.setdefault(c, []).append(i)
+    inside = []
+    for held in others.values():
+        if len(held) > 1:
+            inside.append(np.zeros(n, bool))
+            inside[-1][held] = True
     need = math.ceil(floor * size)
-    step = max(1, (1 << 22) // max(1, len(columns)))
+    step = max(1, (1 << 20) // max(1, len(columns)))
+    across_places = np.ascontiguousarray(sig.T)
     for lo in range(0, len(rows), step):
         part = rows[lo : lo + step]
         own = columns[None, :] > part[:, None] if not across else np.ones((len(part), len(columns)), bool)
         for p in before:
             own &= sig[part, p][:, None] != sig[columns, p][None, :]
+        for held in inside:
+            own &= ~(held[part][:, None] & held[columns][None, :])
+        if np.count_nonzero(own) * 8 > own.size:
+            alike = np.zeros(own.shape, np.uint16)
+            for values in across_places:
+                alike += values[part][:, None] == values[columns][None, :]
+            a, b = np.nonzero(own & (alike >= need))
+            yield part[a], columns[b]
+            continue
         a, b = np.nonzero(own)
         a, b = part[a], columns[b]
         for at in range(0, len(a), 1 << 15):
             x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
             near = (sig[x] == sig[y]).sum(axis=1) >= need
-            found_a.append(x[near])
-            found_b.append(y[near])
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+            yield x[near], y[near]
 
 
 def _live(tasks: DataFrame, size: int, floor: float) -> DataFrame:
@@ -238,9 +274,11 @@ def _live(tasks: DataFrame, size: int, floor: float) -> DataFrame:
         for group in _groups(source, ["bucket", "pair"]):
             if group.num_rows < 2:
                 continue
-            a, b = _candidates(group, size, floor)
-            if len(a):
-                use = group.take(pa.array(np.unique(np.concatenate([a, b]))))
+            live = np.zeros(group.num_rows, bool)
+            for a, b in _candidates(group, size, floor):
+                live[a] = live[b] = True
+            if live.any():
+                use = group.take(pa.array(np.flatnonzero(live)))
                 yield from use.drop_columns(["sig"]).combine_chunks().to_batches()
 
     return tasks.mapInArrow(run, tasks.drop("sig").schema)
@@ -254,43 +292,38 @@ def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFr
         for group in _groups(source, ["bucket", "pair"]):
             if group.num_rows < 2:
                 continue
-            a, b = _candidates(group, size, floor)
             sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
             k = np.array([len(s) for s in sets])
             rep = group.column("rep").to_numpy()
             rows_of = group.column("rows").to_numpy()
             _, number = np.unique(np.concatenate(sets), return_inverse=True)
+            del sets
             cut = np.concatenate(([0], np.cumsum(k)))
             mark = np.zeros(int(number.max()) + 1, bool)
-            links = np.zeros(len(sets), np.int64)
-            root = np.arange(len(sets))
+            links = np.zeros(len(k), np.int64)
+            tree = np.arange(len(k))
             edges = []
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else []
-            for lo, hi in zip(starts, [*starts[1:], len(a)]):
-                i, others = int(a[lo]), b[lo:hi]
-                mark[number[cut[i] : cut[i + 1]]] = True
-                if len(others) * 4 > len(sets):
-                    both = np.add.reduceat(mark[number].astype(np.int32), cut[:-1])[others]
-                else:
-                    both = np.array([int(mark[number[cut[j] : cut[j + 1]]].sum()) for j in others])
-                mark[number[cut[i] : cut[i + 1]]] = False
-                linked = others[both >= threshold * (k[i] + k[others] - both) - 1e-9]
-                links[i] += int(rows_of[linked].sum())
-                links[linked] += rows_of[i]
-                for j in linked.tolist():
-                    x, y = find(i), find(j)
-                    if x != y:
-                        root[y] = x
+            for a, b in _candidates(group, size, floor):
+                starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else []
+                for lo, hi in zip(starts, [*starts[1:], len(a)]):
+                    i, others = int(a[lo]), b[lo:hi]
+                    mark[number[cut[i] : cut[i + 1]]] = True
+                    from_, to = int(others[0]), int(others[-1]) + 1
+                    if len(others) * 4 > to - from_:
+                        hits = mark[number[cut[from_] : cut[to]]].astype(np.int32)
+                        both = np.add.reduceat(hits, cut[from_:to] - cut[from_])[others - from_]
+                    else:
+                        both = np.array([int(mark[number[cut[j] : cut[j + 1]]].sum()) for j in others])
+                    mark[number[cut[i] : cut[i + 1]]] = False
+                    linked = others[both >= threshold * (k[i] + k[others] - both) - 1e-9]
+                    links[i] += int(rows_of[linked].sum())
+                    links[linked] += rows_of[i]
+                    fresh = linked[tree[linked] != tree[i]]
+                    while len(fresh):
+                        j = int(fresh[0])
                         edges.append((i, j))
+                        tree[tree == tree[j]] = tree[i]
+                        fresh = fresh[tree[fresh] != tree[i]]
             used = np.flatnonzero(links)
             if len(used):
                 nothing = pa.nulls(len(used), pa.int64())
@@ -305,51 +338,61 @@ def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFr
 
 def tasks_of(
     classes: DataFrame, runs: int, fanout: int, size: int, limit: int, block: int, levels: int, dense: float
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame | None]:
     """(bucket, pair, side, before, rep): which sets each brute-force task
-    compares. ``classes`` has rep, sig and k."""
+    compares; and the crowds, if there are any. ``classes`` has rep, sig and k."""
     level = classes.select("rep", F.lit(0).cast("long").alias("bucket"), F.array().cast("array<int>").alias("before"), "sig", "k")
-    out = None
+    out = whole = None
     for depth in range(levels):
         count = runs if depth == 0 else fanout
         rows = _sampled(level, count, size)
         paths = level.select("bucket", "before").distinct() if depth else None
         rows = settled(rows)
         sizes = rows.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.first("parent").alias("parent"), F.first("step").alias("step")
+            F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.first("step").alias("step")
         )
         sizes = sizes.filter("n > 1")
         before = _places_before(sizes, paths, count, size)
         small = before.filter(F.col("n") <= limit)
-        large = before.filter(F.col("n") > limit)
-        chosen = rows.select("rep", "bucket").join(
-            small.select("bucket", "before"), "bucket"
-        )
+        large = settled(before.filter(F.col("n") > limit))
+        chosen = rows.select("rep", "bucket").join(small.select("bucket", "before"), "bucket")
         small_tasks = chosen.select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "before", "rep")
         out = small_tasks if out is None else out.unionByName(small_tasks)
-        large = settled(large)
         if not large.take(1):
-            return out
-        held = settled(rows.select("rep", "bucket").join(large, "bucket"))
+            break
+        held = settled(rows.select("rep", "bucket", "k").join(large, "bucket"))
         if depth < levels - 1:
-            # agreement at the places that the bucket would sample next
-            probe = _sampled(held.join(classes, "rep").select("rep", "bucket", "sig", "k"), fanout, size)
-            per = probe.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("c"))
-            agree = per.groupBy("parent").agg((F.sum(F.col("c") * F.col("c")) / fanout).alias("_same"))
+            agree = _agreement(held.select("rep", "bucket").join(classes.select("rep", "sig"), "rep"), fanout, size)
             judged = settled(
                 large.select("bucket", "n").join(agree, F.col("bucket") == F.col("parent")).select(
-                    "bucket", (F.col("_same") >= dense * F.col("n") * F.col("n")).alias("alike")
+                    "bucket", (F.col("same") >= dense * F.col("n") * F.col("n")).alias("alike")
                 )
             )
-            held = settled(held.join(judged, "bucket"))
-            out = out.unionByName(_blocked(held.filter("alike"), max(limit, block)))
+            held = held.join(judged, "bucket")
+            alike = held.filter("alike").select("rep", "bucket", "n", "k")
             split = held.filter("NOT alike").select("rep", "bucket", "before")
-            if not split.take(1):
-                return out
-            level = split.join(classes, "rep")
         else:
-            out = out.unionByName(_blocked(held, max(limit, block)))
-    return out
+            alike, split = held.select("rep", "bucket", "n", "k"), None
+        whole = alike if whole is None else whole.unionByName(alike)
+        if split is None or not split.take(1):
+            break
+        level = split.join(classes.select("rep", "sig", "k"), "rep")
+    if whole is None:
+        return out, None
+    members = settled(crowds(settled(whole)))
+    return out.unionByName(_blocked(members, max(limit, block))), members
+
+
+def crowds(whole: DataFrame) -> DataFrame:
+    """(rep, crowd, k): the sets of buckets (rep, bucket, n, k) that are left
+    whole, where a bucket joins the one that is the largest for most of its sets."""
+    first = whole.groupBy("rep").agg(F.max(F.struct("n", "bucket")).alias("_first"))
+    votes = whole.join(first, "rep").groupBy("bucket", "n", F.col("_first.bucket").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
+    merged = votes.filter((F.col("hub") != F.col("bucket")) & (F.col("c") * 2 > F.col("n")))
+    named = components(merged.select(F.col("bucket").alias("a"), F.col("hub").alias("b")))
+    named = named.select(F.col("node").alias("bucket"), "root")
+    crowd = F.coalesce("root", "bucket").alias("crowd")
+    return whole.join(named, "bucket", "left").select("rep", crowd, "k").distinct()
 
 
 def _places_before(sizes: DataFrame, paths: DataFrame | None, count: int, size: int) -> DataFrame:
@@ -366,27 +409,29 @@ def _places_before(sizes: DataFrame, paths: DataFrame | None, count: int, size:
         own = rows.column("_own").to_pylist()
         before = [sorted({*o, *p[:s].tolist()}) for o, p, s in zip(own, at, rows.column("step").to_pylist())]
         return pa.RecordBatch.from_arrays(
-            [rows.column("bucket"), rows.column("n"), rows.column("total"), pa.array(before, pa.list_(pa.int32()))],
-            ["bucket", "n", "total", "before"],
+            [rows.column("bucket"), rows.column("n"), pa.array(before, pa.list_(pa.int32()))],
+            ["bucket", "n", "before"],
         )
 
-    shape = "bucket long, n long, total long, before array<int>"
-    return map_arrow(sizes.select("bucket", "n", "total", "parent", "step", "_own"), run, shape)
+    shape = "bucket long, n long, before array<int>"
+    return map_arrow(sizes.select("bucket", "n", "parent", "step", "_own"), run, shape)
 
 
 def _blocked(members: DataFrame, limit: int) -> DataFrame:
-    """Tasks for all pairs of blocks of a large bucket: a set goes to the tasks
-    of its own block with every block. Blocks are bounded in sets and in the
-    sets' members."""
+    """Tasks for all pairs of blocks of a crowd: a set goes to the tasks of its
+    own block with every block. Blocks are bounded in sets and in the sets'
+    members."""
+    sizes = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
     blocks = F.ceil(F.greatest(F.col("n") / limit, F.col("total") / ELEMENTS)).cast("int")
-    df = members.withColumn("_m", blocks).withColumn("_b", F.pmod(F.xxhash64("rep", "bucket"), F.col("_m")).cast("int"))
+    df = members.join(sizes.select("crowd", blocks.alias("_m")), "crowd")
+    df = df.withColumn("_b", F.pmod(F.xxhash64("rep", "crowd"), F.col("_m")).cast("int"))
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     low, high = F.least("_b", "_other"), F.greatest("_b", "_other")
     return df.select(
-        "bucket",
+        F.col("crowd").alias("bucket"),
         (low.cast("long") * (1 << 31) + high + 1).alias("pair"),
         F.when(F.col("_b") <= F.col("_other"), 0).otherwise(1).alias("side"),
-        "before",
+        F.array().cast("array<int>").alias("before"),
         "rep",
     )
 
@@ -439,9 +484,14 @@ def jaccard_join(
     # a class is known by a hash of its set
     rep = F.xxhash64("set_key")
     classes = settled(sets.select(rep.alias("rep"), "set_key", "first", "rows", "sig", "k"))
-    tasks = settled(tasks_of(classes.select("rep", "sig", "k"), runs, runs + SPARE, size, limit, block, levels, dense))
+    tasks, crowded = tasks_of(classes.select("rep", "sig", "k"), runs, runs + SPARE, size, limit, block, levels, dense)
     spread = max(parts(docs.sparkSession), 1)
-    placed = tasks.join(classes.select("rep", "rows", "sig"), "rep").repartition(spread, "bucket", "pair")
+    compared = classes.select("rep", "rows", "sig")
+    if crowded is None:
+        compared = compared.withColumn("crowds", F.lit(None).cast("array<long>"))
+    else:
+        compared = compared.join(crowded.groupBy("rep").agg(F.collect_set("crowd").alias("crowds")), "rep", "left")
+    placed = settled(tasks).join(compared, "rep").repartition(spread, "bucket", "pair")
     live = settled(_live(placed.sortWithinPartitions("bucket", "pair", "side", "rep"), size, floor))
     needed = live.select("rep").distinct().join(classes.select("rep", "set_key", "first"), "rep")
     texts = _members(docs, rows, needed, n).join(classes.select("rep", "sig"), "rep")

@@ -82,7 +82,7 @@ def brute_join(rows, threshold=0.8, n=5):
     return {i: (find(i), links[i]) for i in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 3, "block": 3, "dense": 2.0}, {"limit": 2, "block": 2, "levels": 1}])
+@pytest.mark.parametrize("options", [{}, {"limit": 3, "block": 3}, {"limit": 2, "block": 2, "dense": 0.1}, {"limit": 3, "block": 3, "dense": 2.0}, {"limit": 2, "block": 2, "levels": 1}])
 def test_jaccard_join_equals_brute_force(spark, options):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
