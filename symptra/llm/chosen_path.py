@@ -42,6 +42,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ FLOOR = 0.62  # five standard errors below the threshold
 LIMIT = 256
 BLOCK = 4096
 ELEMENTS = 1 << 22  # members of the sets of a block, on average at most
+EDGES = 100_000  # in a partition, about
 LEVELS = 3
 DENSE = 0.5
 SPARE = 3  # places more in splits, as some may have been sampled above
@@ -343,6 +345,7 @@ def tasks_of(
     compares; and the crowds, if there are any. ``classes`` has rep, sig and k."""
     level = classes.select("rep", F.lit(0).cast("long").alias("bucket"), F.array().cast("array<int>").alias("before"), "sig", "k")
     out = whole = None
+    more: list[DataFrame] = []
     for depth in range(levels):
         count = runs if depth == 0 else fanout
         rows = _sampled(level, count, size)
@@ -360,39 +363,56 @@ def tasks_of(
         out = small_tasks if out is None else out.unionByName(small_tasks)
         if not large.take(1):
             break
-        held = settled(rows.select("rep", "bucket", "k").join(large, "bucket"))
-        if depth < levels - 1:
-            agree = _agreement(held.select("rep", "bucket").join(classes.select("rep", "sig"), "rep"), fanout, size)
-            judged = settled(
-                large.select("bucket", "n").join(agree, F.col("bucket") == F.col("parent")).select(
-                    "bucket", (F.col("same") >= dense * F.col("n") * F.col("n")).alias("alike")
-                )
-            )
-            held = held.join(judged, "bucket")
-            alike = held.filter("alike").select("rep", "bucket", "n", "k")
-            split = held.filter("NOT alike").select("rep", "bucket", "before")
-        else:
-            alike, split = held.select("rep", "bucket", "n", "k"), None
-        whole = alike if whole is None else whole.unionByName(alike)
-        if split is None or not split.take(1):
+        sampled = rows.select("rep", "bucket", "k", "step")
+        if depth == 0:
+            held = settled(_judged(sampled.filter("step = 0").join(large, "bucket"), classes, fanout, size, dense, levels > 1))
+            whole = settled(held.filter("alike").select("rep", "bucket", "n", "k"))
+            sampled = sampled.filter("step > 0")
+        first = whole.select("rep", F.col("bucket").alias("crowd"), F.col("n").alias("crowd_n"))
+        sampled = sampled.join(first, "rep", "left")
+        # a bucket whose sets are mostly in one crowd only adds the others to it
+        votes = sampled.filter(F.col("crowd").isNotNull()).groupBy("bucket", "crowd", "crowd_n").agg(F.count(F.lit(1)).alias("c"))
+        joins = settled(votes.join(large.select("bucket", "n"), "bucket").filter("2 * c > n").select("bucket", "crowd", "crowd_n"))
+        rest = sampled.drop("crowd_n").join(joins.select("bucket", "crowd"), ["bucket", "crowd"], "left_anti").drop("crowd", "step")
+        added = rest.join(joins, "bucket").select("rep", F.col("crowd").alias("bucket"), F.col("crowd_n").alias("n"), "k")
+        later = _judged(
+            rest.join(large.join(joins, "bucket", "left_anti"), "bucket"), classes, fanout, size, dense, depth < levels - 1
+        )
+        later = settled(later)
+        held = later if depth else held.drop("step").unionByName(later)
+        more.append(settled(added.distinct()))
+        more.append(later.filter("alike").select("rep", "bucket", "n", "k"))
+        split = held.filter("NOT alike").select("rep", "bucket", "before")
+        if not split.take(1):
             break
         level = split.join(classes.select("rep", "sig", "k"), "rep")
     if whole is None:
         return out, None
-    members = settled(crowds(settled(whole)))
+    members = settled(crowds(settled(reduce(DataFrame.unionByName, more, whole))))
     return out.unionByName(_blocked(members, max(limit, block))), members
 
 
+def _judged(held: DataFrame, classes: DataFrame, count: int, size: int, dense: float, splits: bool) -> DataFrame:
+    """Adds ``alike``: whether the sets of the bucket agree at most of the places
+    that it would sample next, or it cannot be split any more."""
+    if not splits:
+        return held.withColumn("alike", F.lit(True))
+    held = settled(held)
+    agree = _agreement(held.select("rep", "bucket").join(classes.select("rep", "sig"), "rep"), count, size)
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    judged = sizes.join(agree, F.col("bucket") == F.col("parent"))
+    alike = (F.col("same") >= dense * F.col("_n") * F.col("_n")).alias("alike")
+    return held.join(judged.select("bucket", alike), "bucket")
+
+
 def crowds(whole: DataFrame) -> DataFrame:
     """(rep, crowd, k): the sets of buckets (rep, bucket, n, k) that are left
     whole, where a bucket joins the one that is the largest for most of its sets."""
     first = whole.groupBy("rep").agg(F.max(F.struct("n", "bucket")).alias("_first"))
     votes = whole.join(first, "rep").groupBy("bucket", "n", F.col("_first.bucket").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
     merged = votes.filter((F.col("hub") != F.col("bucket")) & (F.col("c") * 2 > F.col("n")))
-    named = components(merged.select(F.col("bucket").alias("a"), F.col("hub").alias("b")))
-    named = named.select(F.col("node").alias("bucket"), "root")
-    crowd = F.coalesce("root", "bucket").alias("crowd")
-    return whole.join(named, "bucket", "left").select("rep", crowd, "k").distinct()
+    crowd = F.coalesce("hub", "bucket").alias("crowd")
+    return whole.join(merged.select("bucket", "hub"), "bucket", "left").select("rep", crowd, "k").distinct()
 
 
 def _places_before(sizes: DataFrame, paths: DataFrame | None, count: int, size: int) -> DataFrame:
@@ -442,17 +462,21 @@ def components(edges: DataFrame) -> DataFrame:
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     old = None
+    few = 1 + edges.count() // EDGES  # partitions that the edges need; they only get fewer rows each round
     while True:  # rounds grow with the logarithm of the longest chain
-        around = both(edges)
+        around = both(edges.coalesce(few))
         low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = around.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.coalesce(few)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         edges = settled(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
             .filter("a <> b")
+            .coalesce(few)
             .distinct()
+            .coalesce(few)
         )
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
         if now == old:
