@@ -8,11 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chosen_path, huffman, langid, lmscore, mixing, nbsvm, nndescent, packing, spotsigs, toxicity
+from . import (
+    chosen_path,
+    huffman,
+    langid,
+    ledger,
+    lmscore,
+    mixing,
+    nbsvm,
+    nndescent,
+    packing,
+    rnsgemm,
+    spotsigs,
+    toxicity,
+    whitening,
+)
+from .oracles import ORACLES as ORACLES
 from .common import run_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -77,3 +91,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return nbsvm.score_quality(docs, nbsvm.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnsgemm.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = run_folder(spark)
+    ledger.write_ledger(table(spark, sf_dir, "documents"), path)
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return ledger.verdicts(ledger.read_ledger(spark, path)).select(*base, "fail_bits")
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
