@@ -88,7 +88,8 @@ def projected(matrix: BlockMatrix, directions: np.ndarray) -> BlockMatrix:
 
 def rows_of(matrix: BlockMatrix) -> DataFrame:
     """(index, values) of a block matrix."""
-    rows = callMLlibFunc("getIndexedRows", matrix.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    indexed = matrix.toIndexedRowMatrix()  # held: the Java matrix goes with its wrapper
+    rows = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
     return rows.select("index", vector_to_array("vector").alias("values"))
 
 
