@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from ..functions.columns import NORMAL_DEN, NORMAL_NUM, NORMAL_SPLIT
-from ..operators.durationfit import STATED_PRIORS, TINY, DurationPriors, Grid
+from ..operators.durationfit import CONTRAST_PRIORS, DEFAULT_PRIORS, STATED_PRIORS, TINY, DurationPriors, Grid
 from ..schema import (
     AGE_GROUPS,
     AGE_GROUPS_WITH_ALL,
@@ -19,7 +20,7 @@ from ..schema import (
     SYMPTOM_LABELS,
 )
 from .inputs import _FLAG_RULES, EVENT_TERMS, GROUPS, N_DRAWS
-from .registry import FIT_DRAWS, places
+from .registry import DURATION_DRAWS, FIT_DRAWS, places
 
 CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
@@ -845,7 +846,14 @@ FROM ccf_gr_bands c JOIN lag_gr_bands l USING (symptom, age_group)""".replace("C
 
 
 def posterior(prefix: str, source: str, keys: list[str], priors: DurationPriors, shared: bool, grid: Grid = Grid()) -> None:
-    """Views of the grid posterior; the last one is ``<prefix>_post``."""
+    """Views of the grid posterior; the last one is ``<prefix>_post``. Priors
+    with contrasts are widened for all age groups but the reference."""
+    def sd(own: float) -> str:
+        if not priors.contrast_sd:
+            return f"{own!r}E0"
+        return f"(CASE WHEN age_group = '{REFERENCE}' THEN {own!r}E0 ELSE {math.hypot(own, priors.contrast_sd)!r}E0 END)"
+
+    mu_sd, ls_sd = sd(priors.mu_sd), sd(priors.log_sigma_sd)
     k = ", ".join(keys)
     sk = ", ".join(x for x in keys if x != "age_group") if shared else k
     k_eq = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
@@ -870,7 +878,7 @@ CROSS JOIN (SELECT unnest(range({i0}, {i1 + 1})) AS i) CROSS JOIN (SELECT unnest
         g = {p: f"(CASE WHEN {d} <= 0 THEN 0.0E0 ELSE ({d}) * {p}_c - m * {p}s_c END)" for p, d in points.items()}
         cte(
             f"{prefix}_lp{step}",
-            f"""SELECT n.*, l.ll - 0.5E0 * pow((n.mu - {priors.mu_mean!r}E0) / {priors.mu_sd}, 2) AS lp FROM {prefix}_node{step} n JOIN (
+            f"""SELECT n.*, l.ll - 0.5E0 * pow((n.mu - {priors.mu_mean!r}E0) / {mu_sd}, 2) AS lp FROM {prefix}_node{step} n JOIN (
 SELECT {k}, i, j, SUM(n * ln(greatest((({g["h1"]} - {g["h0"]}) - ({g["l1"]} - {g["l0"]})) / pw, {TINY}))) AS ll FROM (
 SELECT *, {cdfs} FROM (SELECT *, {shifts} FROM (SELECT *, {scores} FROM (
 SELECT *, exp(ls) AS sg, exp(mu + exp(2 * ls) / 2) AS m FROM {prefix}_terms JOIN {prefix}_node{step} USING ({k}))))) GROUP BY {k}, i, j) l USING ({k}, i, j)""",
@@ -886,7 +894,7 @@ SELECT {k}, j, ls, dmu, dls, MAX(lp) AS top, arg_max(i, lp) AS i, arg_max(mu, lp
 QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY total DESC, j) = 1""",
         )
 
-    ls_prior = f"(-0.5E0 * pow((ls - ({priors.log_sigma_mean!r}E0)) / {priors.log_sigma_sd}, 2))"
+    ls_prior = f"(-0.5E0 * pow((ls - ({priors.log_sigma_mean!r}E0)) / {ls_sd}, 2))"
     (m0, m1, nm), (s0, s1, ns) = grid.mu, grid.log_sigma
     evaluate(
         "0",
@@ -914,7 +922,7 @@ FROM {prefix}_mode{last} m JOIN {prefix}_lp{last} l ON {k_eq('m', 'l')} GROUP BY
     cte(
         f"{prefix}_steps",
         f"""SELECT {k}, mu0, ls0, sqrt(1 / a + (c / a) * (c / a) * vs) / {grid.steps_per_sd} AS dmu, sqrt(vs) / {grid.steps_per_sd} AS dls FROM (
-SELECT *, 1 / (SUM(greatest(b - c * c / a, b * 0.01E0)) OVER (PARTITION BY {sk}) + 1 / {priors.log_sigma_sd**2!r}E0) AS vs FROM {prefix}_curve)""",
+SELECT *, 1 / (SUM(greatest(b - c * c / a, b * 0.01E0)) OVER (PARTITION BY {sk}) + 1 / ({ls_sd} * {ls_sd})) AS vs FROM {prefix}_curve)""",
     )
     f = grid.final_half
     evaluate("f", f"SELECT * FROM {prefix}_steps", ((-f, f), (-f, f)))
@@ -931,6 +939,7 @@ SELECT *, MAX(lp) OVER (PARTITION BY {k}, j) AS top FROM {prefix}_lpf) GROUP BY
     )
 
 
+REFERENCE = min(AGE_GROUPS)
 STRATUM = ["symptom", "age_group"]
 POST_SUMMARY = """SELECT symptom, age_group, SUM(mu * prob) AS mu_mean, sqrt(greatest(SUM(mu * mu * prob) - SUM(mu * prob) * SUM(mu * prob), 0)) AS mu_sd,
 SUM(sigma * prob) AS sigma_mean, sqrt(greatest(SUM(sigma * sigma * prob) - SUM(sigma * prob) * SUM(sigma * prob), 0)) AS sigma_sd,
@@ -942,19 +951,121 @@ posterior("common", "delay_table", STRATUM, STATED_PRIORS, True)
 oracle("duration_shared_sigma", POST_SUMMARY.format("common"), POST_NAMES)
 
 
-def ordered_draws(prefix: str) -> str:
-    return f"""SELECT symptom, age_group, CAST(unnest(range(first, last + 1)) AS INT) AS draw, mu, sigma FROM (
+
+
+def contrasts(prefix: str, source: str, priors: DurationPriors) -> None:
+    """Age groups coupled through the reference: ``<prefix>_post`` holds the
+    marginal posterior of each stratum's nodes. Sums over mu come before those
+    over log sigma, in either direction."""
+    posterior(f"{prefix}_own", source, STRATUM, priors, False)
+    c = priors.contrast_sd
+    cte(
+        f"{prefix}_like",
+        f"""SELECT symptom, age_group, i, j, mu, ls, ll, MAX(ll) OVER (PARTITION BY symptom, age_group) AS top, age_group = '{REFERENCE}' AS is_ref FROM (
+SELECT *, lp + 0.5E0 * pow((mu - {priors.mu_mean!r}E0) / CASE WHEN age_group = '{REFERENCE}' THEN {priors.mu_sd!r}E0 ELSE {math.hypot(priors.mu_sd, c)!r}E0 END, 2) AS ll
+FROM {prefix}_own_lpf)""",
+    )
+    cte(f"{prefix}_mus", f"SELECT DISTINCT symptom, i, mu FROM {prefix}_like WHERE is_ref")
+    cte(f"{prefix}_lss", f"SELECT DISTINCT symptom, j, ls FROM {prefix}_like WHERE is_ref")
+    cte(
+        f"{prefix}_along",
+        f"""SELECT o.symptom, o.age_group, o.j, o.ls, m.i AS ri, SUM(exp(o.ll - o.top - 0.5E0 * pow((o.mu - m.mu) / {c}, 2))) AS a
+FROM {prefix}_like o JOIN {prefix}_mus m USING (symptom) WHERE NOT o.is_ref GROUP BY ALL""",
+    )
+    cte(
+        f"{prefix}_z",
+        f"""SELECT o.symptom, o.age_group, o.ri, l.j AS rj, SUM(o.a * exp(-0.5E0 * pow((o.ls - l.ls) / {c}, 2))) AS z
+FROM {prefix}_along o JOIN {prefix}_lss l USING (symptom) GROUP BY ALL""",
+    )
+    cte(
+        f"{prefix}_ref",
+        f"""SELECT symptom, i AS ri, j AS rj, mu, ls, lp FROM (
+SELECT r.symptom, r.i, r.j, r.mu, r.ls, r.ll - r.top + COALESCE(s.lz, 0) - 0.5E0 * pow((r.mu - {priors.mu_mean!r}E0) / {priors.mu_sd}, 2)
+  - 0.5E0 * pow((r.ls - ({priors.log_sigma_mean!r}E0)) / {priors.log_sigma_sd}, 2) AS lp
+FROM {prefix}_like r LEFT JOIN (SELECT symptom, ri, rj, SUM(ln(z)) AS lz FROM {prefix}_z GROUP BY ALL) s
+  ON r.symptom = s.symptom AND r.i = s.ri AND r.j = s.rj WHERE r.is_ref)""",
+    )
+    cte(
+        f"{prefix}_p",
+        f"SELECT symptom, ri, rj, mu, ls, e / SUM(e) OVER (PARTITION BY symptom) AS p FROM (SELECT *, exp(lp - MAX(lp) OVER (PARTITION BY symptom)) AS e FROM {prefix}_ref)",
+    )
+    cte(
+        f"{prefix}_back",
+        f"""SELECT z.symptom, z.age_group, z.ri, o.j, SUM(p.p / z.z * exp(-0.5E0 * pow((o.ls - p.ls) / {c}, 2))) AS b
+FROM {prefix}_z z JOIN {prefix}_p p USING (symptom, ri, rj)
+JOIN (SELECT DISTINCT symptom, age_group, j, ls FROM {prefix}_along) o ON o.symptom = z.symptom AND o.age_group = z.age_group GROUP BY ALL""",
+    )
+    cte(
+        f"{prefix}_post",
+        f"""SELECT symptom, '{REFERENCE}' AS age_group, ri AS i, rj AS j, mu, exp(ls) AS sigma, p AS prob FROM {prefix}_p
+UNION ALL SELECT symptom, age_group, i, j, mu, exp(ls), q / SUM(q) OVER (PARTITION BY symptom, age_group) FROM (
+SELECT o.symptom, o.age_group, o.i, o.j, o.mu, o.ls, exp(any_value(o.ll - o.top)) * SUM(b.b * exp(-0.5E0 * pow((o.mu - m.mu) / {c}, 2))) AS q
+FROM {prefix}_like o JOIN {prefix}_back b ON b.symptom = o.symptom AND b.age_group = o.age_group AND b.j = o.j
+JOIN {prefix}_mus m ON m.symptom = b.symptom AND m.i = b.ri GROUP BY 1, 2, 3, 4, 5, 6)""",
+    )
+
+
+contrasts("linked", "delay_table", CONTRAST_PRIORS)
+oracle("fit_lognormal_contrasts", POST_SUMMARY.format("linked"), POST_NAMES)
+
+
+def ordered_draws(source: str, n: int, keys: list[str] = STRATUM) -> str:
+    k = ", ".join(keys)
+    return f"""SELECT {k}, CAST(unnest(range(first, last + 1)) AS INT) AS draw, mu, sigma FROM (
 SELECT *, COALESCE(lag(last) OVER w, 0) + 1 AS first FROM (
-SELECT *, CAST(floor(SUM(prob) OVER w / SUM(prob) OVER (PARTITION BY symptom, age_group) * {FIT_DRAWS} + 0.5E0) AS INT) AS last
-FROM {prefix}_post WINDOW w AS (PARTITION BY symptom, age_group ORDER BY j, i ROWS UNBOUNDED PRECEDING))
-WINDOW w AS (PARTITION BY symptom, age_group ORDER BY j, i)) WHERE last >= first"""
+SELECT *, CAST(floor(SUM(prob) OVER w / SUM(prob) OVER (PARTITION BY {k}) * {n} + 0.5E0) AS INT) AS last
+FROM {source} WINDOW w AS (PARTITION BY {k} ORDER BY j, i ROWS UNBOUNDED PRECEDING))
+WINDOW w AS (PARTITION BY {k} ORDER BY j, i)) WHERE last >= first"""
 
 
 oracle(
     "draw_duration_ordered",
-    f"SELECT * REPLACE (round(mu, 4) AS mu, round(sigma, 4) AS sigma) FROM ({ordered_draws('stated')})",
+    f"SELECT * REPLACE (round(mu, 4) AS mu, round(sigma, 4) AS sigma) FROM ({ordered_draws('stated_post', FIT_DRAWS)})",
+)
+
+# the sensitivity analyses: three posteriors serve their variants
+posterior("spread", "ext_delays", ["window_extension", *STRATUM], DEFAULT_PRIORS, False)
+posterior("pooled", "delay_table", STRATUM, DEFAULT_PRIORS, True)
+for _n in (FIT_DRAWS, DURATION_DRAWS):
+    cte(f"spread_draws{_n}", ordered_draws("spread_post", _n, ["window_extension", *STRATUM]))
+    cte(f"pooled_draws{_n}", ordered_draws("pooled_post", _n))
+    cte(f"stated_draws{_n}", ordered_draws("stated_post", _n))
+    cte(
+        f"variant_draws{_n}",
+        f"""SELECT 'window' AS analysis, CAST(window_extension AS VARCHAR) AS variant, symptom, age_group, draw, mu, sigma FROM spread_draws{_n}
+UNION ALL SELECT 'sigma', 'mu', symptom, age_group, draw, mu, sigma FROM pooled_draws{_n}
+UNION ALL SELECT 'sigma', 'mu_sigma', symptom, age_group, draw, mu, sigma FROM spread_draws{_n} WHERE window_extension = 3
+UNION ALL SELECT 'priors', 'stated', symptom, age_group, draw, mu, sigma FROM stated_draws{_n}
+UNION ALL SELECT 'priors', 'default', symptom, age_group, draw, mu, sigma FROM spread_draws{_n} WHERE window_extension = 3""",
+    )
+_VARIANT = "analysis, variant, symptom, age_group"
+cte(
+    "variant_summary",
+    f"SELECT {_VARIANT}, AVG(e) AS mean, {bands('e', 'q')} FROM (SELECT *, exp(mu + sigma * sigma / 2) AS e FROM variant_draws{DURATION_DRAWS}) GROUP BY ALL",
 )
 
+
+def rounded(names: list[str], digits: int) -> str:
+    return "* REPLACE (" + ", ".join(f"round({c}, {digits}) AS {c}" for c in names) + ")"
+
+
+_SUMMARY = ["mean", *names("q")]
+oracle("duration_sensitivity_draws", f"SELECT {rounded(['mu', 'sigma'], 3)} FROM variant_draws{FIT_DRAWS}")
+oracle("duration_sensitivity_summary", f"SELECT {rounded(_SUMMARY, 4)} FROM variant_summary")
+oracle(
+    "duration_sensitivity_density",
+    f"""SELECT {rounded(names(), 3)} FROM (SELECT {_VARIANT}, duration, {bands('density')} FROM (
+SELECT {_VARIANT}, x AS duration, {density('x', 'mu', 'sigma')} AS density FROM (
+SELECT *, unnest(range(0, 201)) * 0.5E0 AS x FROM variant_draws{FIT_DRAWS})) GROUP BY ALL)""",
+)
+for _name, _column, _type in (("window", "window_extension", "INT"), ("sigma", "formula_name", "VARCHAR"), ("priors", "priors", "VARCHAR")):
+    _only = " AND variant <> '10'" if _name == "window" else ""
+    oracle(
+        f"duration_{'prior' if _name == 'priors' else _name}_sensitivity",
+        f"""SELECT CAST(variant AS {_type}) AS {_column}, symptom, age_group, {", ".join(f"round({c}, 4) AS {c}" for c in _SUMMARY)}
+FROM variant_summary WHERE analysis = '{_name}'{_only}""",
+    )
+
 # --- U -----------------------------------------------------------------------
 
 oracle("quantile_bands", f"SELECT symptom, age_group, {bands('mu')} FROM dur_draws GROUP BY 1, 2", names())

@@ -25,6 +25,7 @@ from . import inputs as I
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 FIT_DRAWS = 50
+DURATION_DRAWS = 1000
 
 
 def places(query_name: str, column: str, digits: int = 6) -> int:
@@ -555,12 +556,12 @@ def q_duration_window_cells(s, d):
 
 @query
 def q_duration_window_sensitivity(s, d):
-    return durationfit.duration_window_sensitivity(delays(s, d), n_draws=FIT_DRAWS)
+    return stable(durationfit.duration_window_sensitivity(delays(s, d), n_draws=DURATION_DRAWS), digits=4)
 
 
 @query
 def q_duration_sigma_sensitivity(s, d):
-    return durationfit.duration_sigma_sensitivity(delays(s, d), n_draws=FIT_DRAWS)
+    return stable(durationfit.duration_sigma_sensitivity(delays(s, d), n_draws=DURATION_DRAWS), digits=4)
 
 
 @query
@@ -570,7 +571,37 @@ def q_duration_shared_sigma(s, d):
 
 @query
 def q_duration_prior_sensitivity(s, d):
-    return durationfit.duration_prior_sensitivity(delays(s, d), n_draws=FIT_DRAWS)
+    return stable(durationfit.duration_prior_sensitivity(delays(s, d), n_draws=DURATION_DRAWS), digits=4)
+
+
+def variant_draws(s: SparkSession, d: str, n: int = FIT_DRAWS) -> DataFrame:
+    return durationfit.sensitivity_draws(delays(s, d), n_draws=n, shuffle=False)
+
+
+@query
+def q_duration_sensitivity_draws(s, d):
+    return stable(variant_draws(s, d), digits=3)
+
+
+@query
+def q_duration_sensitivity_summary(s, d):
+    return stable(durationfit.sensitivity_summary(variant_draws(s, d, DURATION_DRAWS)), digits=4)
+
+
+@query
+def q_duration_sensitivity_density(s, d):
+    return stable(durationfit.sensitivity_density(variant_draws(s, d)), digits=3)
+
+
+@query
+def q_fit_lognormal_contrasts(s, d):
+    return durationfit.posterior_summary(durationfit.fit_lognormal(delay_counts(s, d), durationfit.CONTRAST_PRIORS))
+
+
+@query
+def q_draw_duration_contrasts(s, d):
+    return durationfit.draw_contrasts(durationfit.fit_contrasts(delay_counts(s, d)), DURATION_DRAWS)
+
 
 
 # --- F: incidence by fixed back-shift ----------------------------------------

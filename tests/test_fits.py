@@ -206,3 +206,91 @@ def test_basis_of_a_long_series_keeps_its_resolution():
     got = evaluate(t)
     top = top - top.mean(axis=0)
     assert np.allclose(np.abs((got * top).sum(axis=0)), (top * top).sum(axis=0), rtol=0.02)
+
+
+def test_age_contrasts_match_a_dense_grid(spark):
+    """Two age groups, one with few submissions: the joint posterior over
+    (mu, log sigma) of both, summed on one dense four-dimensional grid."""
+    many = simulated_delays(spark, 300, ext=0)
+    few = simulated_delays(spark, 25, math.log(6.0), 0.5, age="b", ext=0)
+    delays = duration.delay_cells(many.unionByName(few)).persist()
+    priors = durationfit.CONTRAST_PRIORS
+    nodes = durationfit.fit_lognormal(delays, priors).toPandas()
+
+    terms = {r["age_group"]: r for r in durationfit._terms(delays, ["symptom", "age_group"], True).collect()}
+    spans = {"a": ((0.9, 1.9), (-0.8, 0.0)), "b": ((0.5, 4.0), (-2.0, 1.0))}
+    axes, like = {}, {}
+    for age, (m, s) in spans.items():
+        mu, ls = np.linspace(*m, 81), np.linspace(*s, 81)
+        t = {c: np.asarray(terms[age][c]) for c in ("hi", "lo", "pw", "n")}
+        rows = []
+        for v in ls:
+            area = lambda d: durationfit.cdf_integral(d[None, :], mu[:, None], np.exp(v))  # noqa: B023, E731
+            mass = (area(t["hi"]) - area(t["hi"] - t["pw"]) - area(t["lo"]) + area(t["lo"] - t["pw"])) / t["pw"]
+            rows.append((t["n"] * np.log(np.maximum(mass, durationfit.TINY))).sum(axis=1))
+        axes[age], like[age] = (mu, ls), np.array(rows)  # log sigma x mu
+    a, b = (np.exp(like[k] - like[k].max()) for k in "ab")
+    prior = np.exp(-0.5 * ((axes["a"][0] - priors.mu_mean) / priors.mu_sd) ** 2)[None, :]
+    prior = prior * np.exp(-0.5 * ((axes["a"][1] - priors.log_sigma_mean) / priors.log_sigma_sd) ** 2)[:, None]
+    across = np.exp(-0.5 * ((axes["b"][0][None, :] - axes["a"][0][:, None]) / 3) ** 2)  # mu a x mu b
+    over = np.exp(-0.5 * ((axes["b"][1][None, :] - axes["a"][1][:, None]) / 3) ** 2)
+    joint_a = a * prior * np.einsum("Jj,ji,Ii->JI", over, b, across)
+    joint_b = b * np.einsum("Jj,JI,Ii->ji", over, a * prior, across)
+    for age, p in (("a", joint_a), ("b", joint_b)):
+        p = p / p.sum()
+        for axis, grid, own in ((0, axes[age][0], lambda n: n.mu), (1, axes[age][1], lambda n: np.log(n.sigma))):
+            part = nodes[nodes.age_group == age]
+            assert abs(part.prob.sum() - 1) < 1e-9
+            mean, got = (p.sum(axis=axis) * grid).sum(), (part.prob * own(part)).sum()
+            sd = math.sqrt((p.sum(axis=axis) * (grid - mean) ** 2).sum())
+            spread = math.sqrt((part.prob * (own(part) - got) ** 2).sum())
+            assert abs(got - mean) < 0.03 * sd and abs(spread / sd - 1) < 0.05, (age, axis)
+    # a weak contrast instead of the narrow prior on its own
+    alone = durationfit.posterior_summary(durationfit.fit_lognormal(delays)).filter("age_group = 'b'").first()
+    part = nodes[nodes.age_group == "b"]
+    assert (part.prob * part.mu).sum() > alone["mu_mean"]
+
+
+def test_contrast_draws_follow_the_marginals(spark):
+    cells = simulated_delays(spark, 400, ext=0).unionByName(simulated_delays(spark, 60, math.log(7.0), 0.7, age="b", ext=0))
+    delays = duration.delay_cells(cells).persist()
+    for shared in (False, True):
+        fit = durationfit.fit_contrasts(delays, shared_sigma=shared).persist()
+        want = {r["age_group"]: r for r in durationfit.posterior_summary(durationfit.contrast_nodes(fit)).collect()}
+        draws = durationfit.draw_contrasts(fit, 4000)
+        assert draws.count() == 8000 and draws.select("draw").distinct().count() == 4000
+        for r in draws.groupBy("age_group").agg(F.avg("mu").alias("m"), F.stddev("mu").alias("s"), F.avg("sigma").alias("g")).collect():
+            w = want[r["age_group"]]
+            assert abs(r["m"] - w["mu_mean"]) < 4 * w["mu_sd"] / math.sqrt(4000)
+            assert abs(r["s"] / w["mu_sd"] - 1) < 0.06
+            assert abs(r["g"] - w["sigma_mean"]) < 4 * w["sigma_sd"] / math.sqrt(4000)
+        if shared:
+            assert draws.groupBy("draw").agg(F.count_distinct(F.round("sigma", 9)).alias("n")).filter("n > 1").count() == 0
+
+
+def test_wide_sigma_does_not_overflow():
+    t = np.array([1.0, 5.0, 60.0])
+    area = durationfit.cdf_integral(t[None, :], np.array([[0.0], [3.0]]), 60.0)
+    assert np.isfinite(area).all() and (np.diff(area, axis=1) > 0).all()
+    days = np.linspace(1e-6, 5.0, 200001)
+    numeric = np.trapezoid(durationfit.normal_cdf((np.log(days) - 0.5) / 0.8), days)
+    assert abs(durationfit.cdf_integral(np.array([5.0]), np.array([0.5]), 0.8)[0] - numeric) < 1e-6
+
+
+def test_variants_share_one_pass(spark):
+    """Each variant's posterior equals its own fit; equal fits are made once."""
+    delays = spark.createDataFrame(
+        [(DAY0 + dt.timedelta(days=20 + i % 9), i, DAY0 + dt.timedelta(days=10 + (i * 7) % 13), "a" if i % 3 else "b", "cough", True, True) for i in range(500)],
+        "submitted_at date, participant_id long, onset date, age_group string, symptom string, new boolean, ongoing boolean",
+    )
+    draws = durationfit.sensitivity_draws(delays, n_draws=40, shuffle=False).persist()
+    assert draws.select("analysis", "variant").distinct().count() == len(durationfit.ALL_VARIANTS)
+    same = [draws.filter(c).drop("analysis", "variant").orderBy("age_group", "draw").collect() for c in ("analysis = 'window' AND variant = '3'", "variant = 'mu_sigma'", "variant = 'default'")]
+    assert same[0] == same[1] == same[2] and len(same[0]) == 80
+    cells = duration.delay_cells(duration.duration_cells(delays))
+    for variant, args in (("mu", {"priors": durationfit.DEFAULT_PRIORS, "shared_sigma": True}), ("stated", {})):
+        own = durationfit.draw_duration(durationfit.fit_lognormal(cells, **args), 40, shuffle=False).orderBy("age_group", "draw").collect()
+        got = draws.filter(F.col("variant") == variant).orderBy("age_group", "draw").collect()
+        assert np.allclose([(r["mu"], r["sigma"]) for r in own], [(r["mu"], r["sigma"]) for r in got], atol=1e-6)
+    text = durationfit.fit_variants(delays)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in text and text.count("window_extension") > 0  # reads the stored cells only
