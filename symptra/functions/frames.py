@@ -40,6 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_row_each(series: str, field: str) -> Column:
+    """True for a packed series, an array of structs sorted by ``field``; the
+    query fails, when run, if one value of ``field`` has two rows."""
+    s = F.col(series)
+    steps = F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1)))
+    twice = F.exists(steps, lambda i: F.coalesce(F.get(s, i)[field] == F.get(s, i - 1)[field], F.lit(False)))
+    return F.when(~twice, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"a series has two rows for one {field}")).cast("boolean")
+    )
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which NULL keys match each other; keys come from the left."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

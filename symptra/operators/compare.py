@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bands, format_interval, ratio, strict_sum, unpack_bands
-from ..functions.frames import quantile_bands
+from ..functions.frames import one_row_each, quantile_bands
 from ..schema import AGE_GROUPS_WITH_ALL, ALL_AGES, BANDS_90, FIGURE_ORDER, MODELLED_SYMPTOMS, SEARCH_TAG
 from .survey import filter_symptoms_regex, harmonise_symptoms, label_symptoms, with_category_rank
 
@@ -50,12 +50,15 @@ def per_capita_bands(samples: DataFrame, tag: str | None = None) -> DataFrame:
 
 def _growth_rates(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
     """Daily change relative to the current value, in percent, without the
-    first date of each series. A series is bounded by the study days."""
+    first date of each series. A series is bounded by the study days. A date
+    that occurs twice in a series has no rate: the query fails when run."""
     w = W.partitionBy(*keys).orderBy("date")
     prev = df.withColumns({"_d": F.lag("date").over(w), "_v": F.lag(value).over(w)})
+    days = F.datediff("date", "_d")
+    error = F.raise_error(F.lit("a series has two rows for one date")).cast("int")
     return (
         prev.filter(F.col("_d").isNotNull())
-        .withColumn("diff_time", F.datediff("date", "_d").cast("double"))
+        .withColumn("diff_time", F.when(days == 0, error).otherwise(days).cast("double"))
         .withColumn("diff_incidence", F.col(value) - F.col("_v"))
         .withColumn(out, ratio(F.col("diff_incidence") / F.col("diff_time"), value) * 100)
         .drop("_d", "_v")
@@ -143,6 +146,40 @@ def cross_correlation(
             "_s"
         )
     )
+    return _correlate(packed.filter(one_row_each("_s", "o")), keys, max_lag)
+
+
+def correlate_draws(
+    survey: DataFrame, trend: DataFrame, x: str, y: str, on: Sequence[str] = ("symptom", "draw"), max_lag: int | None = None
+) -> DataFrame:
+    """The cross-correlation of survey and search draws on their common dates.
+
+    Each side is first packed to one array row per series, so the join meets
+    series, not days; the dates are matched inside the row. Search series
+    without gaps are read by their day number, others by a look through the
+    array. Two rows for one date in a series end the query."""
+    on = list(on)
+
+    def packed(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+        rows = F.collect_list(F.struct(F.col("date").alias("o"), F.col(value).cast("double").alias("v")))
+        return df.groupBy(*keys).agg(F.array_sort(rows).alias(out)).filter(one_row_each(out, "o"))
+
+    both = packed(survey, x, SERIES, "_x").join(packed(trend, y, on, "_y"), on)
+    other = F.col("_y")
+
+    def match(s: Column) -> Column:
+        place = F.get(other, F.datediff(s["o"], other[0]["o"]))
+        found = F.when(place["o"] == s["o"], place).otherwise(F.get(F.filter(other, lambda t: t["o"] == s["o"]), F.lit(0)))
+        return F.struct(s["o"].alias("o"), s["v"].alias("x"), found.alias("t"))
+
+    series = F.filter(F.transform("_x", match), lambda s: s["t"].isNotNull())
+    pairs = F.transform(series, lambda s: F.struct(s["o"].alias("o"), s["x"].alias("x"), s["t"]["v"].alias("y")))
+    merged = both.select(*SERIES, pairs.alias("_s")).filter(F.size("_s") > 0)
+    return _correlate(merged, SERIES, max_lag)
+
+
+def _correlate(packed: DataFrame, keys: Sequence[str], max_lag: int | None) -> DataFrame:
+    """Lagged correlations of the arrays ``_s`` of (o, x, y)."""
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
@@ -199,6 +236,17 @@ def max_per_draw(ccf: DataFrame, keys: Sequence[str] = tuple(SERIES)) -> DataFra
     )
 
 
+def max_bands(tops: DataFrame) -> DataFrame:
+    """Quantiles of the draws' largest correlations and of their lags, in one
+    aggregation of :func:`max_per_draw`; the tables below derive from it."""
+    keys = ["symptom", "age_group"]
+    return (
+        tops.groupBy(*keys)
+        .agg(bands("ccf", "ccf_pi_", BANDS_90), bands("lag", "lag_pi_", BANDS_90))
+        .select(*keys, *unpack_bands("ccf_pi_", BANDS_90), *unpack_bands("lag_pi_", BANDS_90))
+    )
+
+
 def max_lag(ccf: DataFrame) -> DataFrame:
     return quantile_bands(max_per_draw(ccf), "lag", ["symptom", "age_group"], "lag_pi_", BANDS_90)
 
@@ -207,29 +255,30 @@ def max_corr(ccf: DataFrame) -> DataFrame:
     return quantile_bands(max_per_draw(ccf), "ccf", ["symptom", "age_group"], "ccf_pi_", BANDS_90)
 
 
-def _interval_table(bands_df: DataFrame, prefix: str, digits: int) -> DataFrame:
+def interval_table(bands_df: DataFrame, prefix: str, digits: int = 2) -> DataFrame:
+    """Symptoms by age groups, cells "median [5%, 95%]"."""
     text = bands_df.withColumn("value", format_interval(f"{prefix}50", f"{prefix}5", f"{prefix}95", digits))
     return text.groupBy("symptom").pivot("age_group", AGE_GROUPS_WITH_ALL).agg(F.first("value"))
 
 
 def max_lag_table(ccf: DataFrame, digits: int = 2) -> DataFrame:
     """Symptoms by age groups, cells "median lag [5%, 95%]"."""
-    return _interval_table(max_lag(ccf), "lag_pi_", digits)
+    return interval_table(max_lag(ccf), "lag_pi_", digits)
 
 
 def max_corr_table(ccf: DataFrame, digits: int = 2) -> DataFrame:
-    return _interval_table(max_corr(ccf), "ccf_pi_", digits)
+    return interval_table(max_corr(ccf), "ccf_pi_", digits)
 
 
-def max_ccf_2d(ccf: DataFrame) -> DataFrame:
-    """Quantiles of the maximal correlation and of its lag side by side."""
-    keys = ["symptom", "age_group"]
+def maxima_figure_data(both: DataFrame) -> DataFrame:
+    """Labels and ranks for the two-dimensional figure, from :func:`max_bands`."""
     return (
-        max_per_draw(ccf)
-        .groupBy(*keys)
-        .agg(bands("ccf", "ccf_pi_", BANDS_90), bands("lag", "lag_pi_", BANDS_90))
-        .select(*keys, *unpack_bands("ccf_pi_", BANDS_90), *unpack_bands("lag_pi_", BANDS_90))
-        .transform(label_symptoms, out="symptom")
+        both.transform(label_symptoms, out="symptom")
         .transform(with_category_rank, "age_group", AGE_GROUPS_WITH_ALL, "age_rank")
         .withColumn("is_national", F.when(F.col("age_group") == ALL_AGES, "A").otherwise("B"))
     )
+
+
+def max_ccf_2d(ccf: DataFrame) -> DataFrame:
+    """Quantiles of the maximal correlation and of its lag side by side."""
+    return maxima_figure_data(max_bands(max_per_draw(ccf)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import lognormal_density, normal_cdf, ratio, strict_sum
-from ..functions.frames import quantile_bands
+from ..functions.frames import one_row_each, quantile_bands
 from ..schema import ALL_AGES, DISTRIBUTION_DAYS
 from .duration import with_expected_duration
 
@@ -106,13 +106,14 @@ def deconvolve(
     from 1. ``scale`` multiplies the data for the stopping rule only. A series
     without delay weights, or with an unknown day, has unknown incidence
     throughout. ``status`` adds the updates made, the last fit (unknown where
-    the series was not deconvolved) and whether it fell below ``tol``.
+    the series was not deconvolved) and whether it fell below ``tol``. Two rows
+    for one date in a series end the query.
     """
     parts = int(prevalence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = prevalence.repartition(parts, *SERIES)  # small rows, long work: keep all tasks
     series = spread.groupBy(*SERIES).agg(
         F.array_sort(F.collect_list(F.struct("date", "prevalence", "population"))).alias("_s")
-    )
+    ).filter(one_row_each("_s", "date"))
     packed = series.select(
         *SERIES,
         F.transform("_s", lambda s: s["prevalence"]).alias("_y"),
@@ -151,6 +152,21 @@ def deconvolve(
     )
 
 
+def deconvolution_status(solved: DataFrame) -> DataFrame:
+    """Per symptom and age group: series, those that converged, those without
+    a solution, and the most updates and the worst fit among them."""
+    series = solved.groupBy(*SERIES).agg(
+        F.max("updates").alias("updates"), F.max("fit").alias("fit"), F.bool_or("converged").alias("converged")
+    )
+    return series.groupBy("symptom", "age_group").agg(
+        F.count(F.lit(1)).alias("n_series"),
+        F.count_if("converged").alias("n_converged"),
+        F.count_if(F.col("fit").isNull()).alias("n_unknown"),
+        F.max("updates").alias("most_updates"),
+        F.max("fit").alias("worst_fit"),
+    )
+
+
 def assign_dates(df: DataFrame, start: dt.date | Column, date_offset: int = 1) -> DataFrame:
     """date = start + t, one day after the first observation for t = 1;
     ``date_offset=0`` puts t = 1 on the start date itself."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bands, inverse_logit as _inverse_logit, ratio, strict_sum, unpack_bands
-from ..functions.frames import attach_group_stats, null_safe_join
+from ..functions.frames import attach_group_stats, null_safe_join, stored
 from ..schema import AGE_GROUPS, ALL_AGES, MODELLED_SYMPTOMS, REGIONS
 from .survey import strip_prefix, with_age_group, with_category_rank
 
@@ -28,14 +28,15 @@ def with_time_index(df: DataFrame, date: str = "submitted_at", by: Sequence[str]
 def prevalence_cells(df: DataFrame, symptoms: Sequence[str] = tuple(MODELLED_SYMPTOMS)) -> DataFrame:
     """Trials and outcomes per symptom, age, region, window day and date.
 
-    All outcomes are counted in one wide aggregation; the symptom key appears
-    afterwards, on cells instead of submissions.
+    All outcomes are counted in one wide aggregation, the only scan of the
+    survey; the symptom key and the day number appear afterwards, on its stored
+    cells.
     """
     wide = df.groupBy(*CELL_KEYS).agg(
         F.count(F.lit(1)).alias("n_trials"),
         *[strict_sum(F.col(f"symptoms_new_{s}").cast("int")).alias(s) for s in symptoms],
     )
-    cells = wide.unpivot([*CELL_KEYS, "n_trials"], list(symptoms), "symptom", "n_outcome")
+    cells = stored(wide).unpivot([*CELL_KEYS, "n_trials"], list(symptoms), "symptom", "n_outcome")
     return with_time_index(cells)
 
 

@@ -94,16 +94,19 @@ def _kept(name: str) -> str:
 def oracle(name: str, sql: str, doubles: list[str] | None = None) -> None:
     """Register a query: prefix the views it needs, round its doubles."""
     needed: list[str] = []
+    open_: set[str] = set()  # a recursive view names itself
 
     def visit(text: str) -> None:
         for other, body in CTES.items():
-            if other not in needed and re.search(rf"\b{other}\b", text):
+            if other not in needed and other not in open_ and re.search(rf"\b{other}\b", text):
+                open_.add(other)
                 visit(body)
                 if other not in needed:
                     needed.append(other)
 
     visit(sql)
-    with_clause = "WITH " + ",\n".join(f"{n} AS {_kept(n)}({CTES[n]})" for n in needed) + "\n" if needed else ""
+    recursive = any(re.search(rf"\b{n}\b", CTES[n]) for n in needed)
+    with_clause = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS {_kept(n)}({CTES[n]})" for n in needed) + "\n" if needed else ""
     if doubles:
         rounded = ", ".join(f"round({c}, {places(name, c)}) + 0.0E0 AS {c}" for c in doubles)
         sql = f"SELECT * REPLACE ({rounded}) FROM ({sql})"
@@ -651,6 +654,61 @@ FROM state2 s JOIN obs o ON o.symptom = s.symptom AND o.age_group = s.age_group
 JOIN dur_exp d ON d.symptom = s.symptom AND d.age_group = s.age_group AND d.draw = s.draw""",
     ["incidence"],
 )
+# the whole iteration, one row per series and step: lists of the observed days,
+# the delay weights, the share q of each state day that is seen, and the state
+_SERIES = "symptom, age_group, draw"
+_DAYS = 60
+cte(
+    "rl_start",
+    f"""SELECT {_SERIES}, y, p, s, list_transform(range(1, len(s) + 1), lambda k:
+  list_dot_product(list_slice(list_concat(list_resize([0.0E0], {_DAYS}, 0.0E0), list_transform(y, lambda v: 1.0E0), list_resize([0.0E0], {_DAYS}, 0.0E0)), k, k + {_DAYS}), p)) AS q
+FROM (SELECT {_SERIES}, list(prevalence ORDER BY date) AS y FROM prev_age GROUP BY ALL)
+JOIN (SELECT {_SERIES}, list(mass ORDER BY day) AS p FROM pmf GROUP BY ALL) USING ({_SERIES})
+JOIN (SELECT {_SERIES}, list(v ORDER BY k) AS s FROM state0 GROUP BY ALL) USING ({_SERIES})""",
+)
+
+
+def _judged(source: str) -> str:
+    """The rows with the expected days e and the mean squared misfit c."""
+    return f"""SELECT *, list_avg(list_transform(range(1, len(y) + 1), lambda i: CASE WHEN e[i] > 0 THEN pow(e[i] - y[i], 2) / e[i] ELSE 0.0E0 END)) AS c
+FROM (SELECT *, list_transform(range(1, len(y) + 1), lambda i: list_dot_product(list_slice(s, i, i + {_DAYS}), list_reverse(p))) AS e FROM ({source}))"""
+
+
+cte(
+    "rl",
+    f"""SELECT {_SERIES}, 0 AS step, y, p, q, s, e, c FROM ({_judged("SELECT * FROM rl_start")}) UNION ALL
+SELECT {_SERIES}, step, y, p, q, s, e, c FROM ({_judged(f"""SELECT {_SERIES}, step, y, p, q,
+  list_transform(range(1, len(s) + 1), lambda k: CASE WHEN q[k] > 0 THEN s[k] * list_dot_product(list_slice(r, k, k + {_DAYS}), p) / q[k] ELSE s[k] END) AS s
+  FROM (SELECT {_SERIES}, step + 1 AS step, y, p, q, s, list_concat(list_resize([0.0E0], {_DAYS}, 0.0E0),
+    list_transform(range(1, len(y) + 1), lambda i: CASE WHEN e[i] > 0 THEN y[i] / e[i] ELSE 0.0E0 END), list_resize([0.0E0], {_DAYS}, 0.0E0)) AS r
+    FROM rl WHERE step < 32 AND c >= 1E-4)""")})""",
+)
+cte(
+    "rl_last",
+    f"""SELECT {_SERIES}, MAX(step) AS updates, arg_max(s, step) AS s, any_value(q) AS q,
+  CASE WHEN MAX(step) = 32 THEN MAX(c) FILTER (WHERE step = 31) ELSE arg_max(c, step) END AS fit FROM rl GROUP BY ALL""",
+)
+cte(
+    "deconvolved",
+    f"""SELECT o.symptom, o.age_group, o.draw, o.population,
+  CASE WHEN l.q[o.i + {_DAYS}] > 0 THEN l.s[o.i + {_DAYS}] / d.exp_dur END AS incidence,
+  CAST((SELECT MIN(date) FROM obs) + CAST(o.i AS INT) AS DATE) AS date
+FROM obs o JOIN rl_last l USING ({_SERIES}) JOIN dur_exp d USING ({_SERIES})""",
+)
+oracle("deconvolve", "SELECT * FROM deconvolved", ["incidence"])
+oracle(
+    "deconvolution_status",
+    """SELECT symptom, age_group, COUNT(*) AS n_series, COUNT(*) FILTER (WHERE fit < 1E-4) AS n_converged,
+COUNT(*) FILTER (WHERE fit IS NULL) AS n_unknown, CAST(MAX(updates) AS INT) AS most_updates, MAX(fit) AS worst_fit FROM rl_last GROUP BY 1, 2""",
+    ["worst_fit"],
+)
+oracle(
+    "deconvolved_incidence_bands",
+    f"""SELECT symptom, age_group, date, {bands('v')}, 'Deconvolution' AS data FROM (
+SELECT symptom, age_group, date, incidence * 1000 AS v FROM deconvolved UNION ALL
+SELECT symptom, 'All', date, {strict_sum('incidence * population')} / SUM(population) * 1000 FROM deconvolved GROUP BY symptom, date, draw) GROUP BY 1, 2, 3""",
+    names(),
+)
 oracle(
     "assign_dates",
     """SELECT symptom, draw, fitted, (SELECT MIN(date) FROM search_volume) AS start,

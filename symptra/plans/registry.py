@@ -82,16 +82,12 @@ def search_draws(s: SparkSession, d: str) -> DataFrame:
 
 
 def ccf_incidence(s: SparkSession, d: str) -> DataFrame:
-    joined = compare.join_draws(survey_draws(s, d), search_draws(s, d))
-    return compare.cross_correlation(joined, "incidence", "fitted")
+    return compare.correlate_draws(survey_draws(s, d), search_draws(s, d), "incidence", "fitted")
 
 
 def ccf_growth(s: SparkSession, d: str) -> DataFrame:
-    joined = compare.join_draws(
-        compare.survey_growth_rates(survey_draws(s, d)).drop("diff_time", "diff_incidence"),
-        compare.trend_growth_rates(search_draws(s, d)),
-    )
-    return compare.cross_correlation(joined, "survey_gr", "search_gr")
+    survey_growth = compare.survey_growth_rates(survey_draws(s, d))
+    return compare.correlate_draws(survey_growth, compare.trend_growth_rates(search_draws(s, d)), "survey_gr", "search_gr")
 
 
 def delays(s: SparkSession, d: str) -> DataFrame:
@@ -99,7 +95,7 @@ def delays(s: SparkSession, d: str) -> DataFrame:
 
 
 def delay_counts(s: SparkSession, d: str) -> DataFrame:
-    return duration.delay_cells(duration.duration_cells(delays(s, d)))
+    return duration.delay_cells(frames.stored(duration.duration_cells(delays(s, d))))
 
 
 def deconvolved(s: SparkSession, d: str, max_iter: int = 32, tol: float = 1e-4) -> DataFrame:
@@ -657,6 +653,14 @@ def q_deconvolve(s, d):
     return deconvolved(s, d)
 
 
+@query
+def q_deconvolution_status(s, d):
+    solved = deconvolution.deconvolve(
+        prevalence_age(s, d), deconvolution.delay_pmf(I.duration_samples(s, d)), status=True
+    )
+    return deconvolution.deconvolution_status(solved)
+
+
 @query
 def q_deconvolve_two_steps(s, d):
     return deconvolved(s, d, max_iter=2, tol=0.0)

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from symptra.functions import columns as C
@@ -99,3 +100,37 @@ def test_deconvolution_dates_and_national_mean(spark):
     assert dated.first()["date"] == DAY0
     nation = deconvolution.national_weighted(dated).first()
     assert abs(nation["incidence"] - 0.325) < 1e-12 and nation["age_group"] == "All"
+
+
+def series_rows(n, shift=0, gaps=(), twice=()):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i + shift) for i in range(n) if i not in gaps]
+    return [*days, *[days[i] for i in twice]]
+
+
+def test_packed_correlation_equals_the_joined_one(spark):
+    survey = [("cough", a, k, d, float((i * 7 + k * 3) % 11 + i)) for a in ("x", "y") for k in (1, 2) for i, d in enumerate(series_rows(40, 3, (5, 17)))]
+    survey += [("fever", "x", 1, d, float(i)) for i, d in enumerate(series_rows(4, 400))]  # no common date
+    trend = [("cough", k, d, float((i * 5 + k) % 13)) for k in (1, 2) for i, d in enumerate(series_rows(45, 0, (2, 9, 10, 30)))]
+    trend += [("fever", 1, d, float(i)) for i, d in enumerate(series_rows(9))]
+    left = spark.createDataFrame(survey, "symptom string, age_group string, draw int, date date, incidence double")
+    right = spark.createDataFrame(trend, "symptom string, draw int, date date, fitted double")
+    order = ["symptom", "age_group", "draw", "lag"]
+    got = compare.correlate_draws(left, right, "incidence", "fitted").orderBy(*order).collect()
+    want = compare.cross_correlation(compare.join_draws(left, right), "incidence", "fitted").orderBy(*order).collect()
+    assert len(got) == len(want) > 0
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and abs(a["ccf"] - b["ccf"]) < 1e-12
+
+
+@pytest.mark.parametrize("side", ["survey", "trend"])
+def test_repeated_dates_end_the_query(spark, side):
+    twice = (3,)
+    survey = [("cough", "x", 1, d, float(i)) for i, d in enumerate(series_rows(9, twice=twice if side == "survey" else ()))]
+    trend = [("cough", 1, d, float(i % 4)) for i, d in enumerate(series_rows(9, twice=twice if side == "trend" else ()))]
+    left = spark.createDataFrame(survey, "symptom string, age_group string, draw int, date date, incidence double")
+    right = spark.createDataFrame(trend, "symptom string, draw int, date date, fitted double")
+    with pytest.raises(Exception, match="two rows for one"):
+        compare.correlate_draws(left, right, "incidence", "fitted").collect()
+    growth = compare.survey_growth_rates(left) if side == "survey" else compare.trend_growth_rates(right)
+    with pytest.raises(Exception, match="two rows for one"):
+        growth.collect()
