@@ -539,6 +539,26 @@ for _name, _digits, _pad in (("mean_duration_table", 3, True), ("mean_duration_t
         ),
     )
 
+# Newton's method for intercept and window slope, on counts per window day
+cte(
+    "window_cells",
+    "SELECT symptom, window_submission * 1.0E0 AS x, SUM(n_trials) * 1.0E0 AS m, SUM(n_outcome) * 1.0E0 AS y FROM cells GROUP BY 1, 2",
+)
+cte(
+    "newton",
+    """SELECT symptom, 0 AS step, ln(SUM(y) / (SUM(m) - SUM(y))) AS b0, 0.0E0 AS b1 FROM window_cells GROUP BY symptom UNION ALL
+SELECT symptom, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+SELECT symptom, step, b0, b1, SUM(y - m * p) AS g0, SUM((y - m * p) * x) AS g1,
+  SUM(m * p * (1 - p)) AS h00, SUM(m * p * (1 - p) * x) AS h01, SUM(m * p * (1 - p) * x * x) AS h11 FROM (
+SELECT n.*, c.x, c.m, c.y, 1 / (1 + exp(-(b0 + b1 * c.x))) AS p FROM newton n JOIN window_cells c USING (symptom) WHERE step < 12)
+GROUP BY symptom, step, b0, b1)""",
+)
+oracle(
+    "fit_mrp_window",
+    "SELECT symptom, b0 AS intercept, b1 AS slope, TRUE AS converged FROM newton WHERE step = 12",
+    ["intercept", "slope"],
+)
+
 # --- F -----------------------------------------------------------------------
 
 cte(

@@ -57,13 +57,16 @@ class Pipeline:
         path = f"{self.out}/prevalence_cells"
         self._write(prev.prevalence_cells(self._submissions()), "prevalence_cells")
         cells = read_samples(self.spark, path)
-        fit = mrp.fit_mrp(cells)
+        self._write(mrp.fit_mrp(cells), "prevalence_fit")
+        fit = self._samples("prevalence_fit")
+        self._table(mrp.draw_status(fit, cells, self.n_draws), "prevalence_status")
         samples = mrp.prevalence_draws(
             fit,
             prev.prediction_grid(cells, windows=False),
             prev.window_weights(cells),
             prev.poststrat_population(self.population),
             self.n_draws,
+            cells=cells,
         )
         self._write(samples, "prevalence_samples")
         bands = prev.prevalence_summary(self._samples("prevalence_samples"))

@@ -363,7 +363,20 @@ def q_poststrat_population(s, d):
 
 @query
 def q_fit_mrp(s, d):
-    return mrp.fit_mrp(I.cells(s, d)).select("symptom", "edf", "deviance")
+    return mrp.fit_mrp(I.cells(s, d)).drop("cov")
+
+
+@query
+def q_fit_mrp_window(s, d):
+    spec = mrp.MRPSpec(trend_length=None, age_trend_length=None, region=False)
+    beta = F.col("beta")
+    return mrp.fit_mrp(I.cells(s, d), spec).select("symptom", beta[0].alias("intercept"), beta[1].alias("slope"), "converged")
+
+
+@query
+def q_draw_status(s, d):
+    cells, fit = _fit_parts(s, d)
+    return mrp.draw_status(fit, cells, 1000)
 
 
 @query
@@ -382,7 +395,7 @@ def _fit_parts(s, d):
 @query
 def q_draw_linear_predictor(s, d):
     cells, fit = _fit_parts(s, d)
-    samples = mrp.draw_linear_predictor(fit, prev.prediction_grid(cells), n_draws=10)
+    samples = mrp.draw_linear_predictor(fit, prev.prediction_grid(cells), n_draws=10, cells=cells)
     return samples.groupBy("symptom", "draw").agg(F.avg("fitted").alias("fitted"), F.count(F.lit(1)).alias("n"))
 
 
@@ -390,7 +403,12 @@ def q_draw_linear_predictor(s, d):
 def q_prevalence_draws(s, d):
     cells, fit = _fit_parts(s, d)
     samples = mrp.prevalence_draws(
-        fit, prev.prediction_grid(cells, windows=False), prev.window_weights(cells), I.strata_population(s, d), FIT_DRAWS
+        fit,
+        prev.prediction_grid(cells, windows=False),
+        prev.window_weights(cells),
+        I.strata_population(s, d),
+        FIT_DRAWS,
+        cells=cells,
     )
     return prev.prevalence_summary(samples)
 

@@ -294,3 +294,58 @@ def test_variants_share_one_pass(spark):
         assert np.allclose([(r["mu"], r["sigma"]) for r in own], [(r["mu"], r["sigma"]) for r in got], atol=1e-6)
     text = durationfit.fit_variants(delays)._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD" not in text and text.count("window_extension") > 0  # reads the stored cells only
+
+
+def sparse_cells(spark, symptoms=("cough",)):
+    rows = [(s, x, 4, 1 if (x + k) % 5 == 0 else 0) for k, s in enumerate(symptoms) for x in range(7) for _ in range(2)]
+    return spark.createDataFrame(rows, "symptom string, window_submission int, n_trials long, n_outcome long")
+
+
+WINDOW_ONLY = mrp.MRPSpec(trend_length=None, age_trend_length=None, region=False)
+
+
+def test_corrected_draws_match_a_dense_grid(spark):
+    """Few, rare outcomes: the posterior is skewed, and the Gaussian around the
+    fit is not it."""
+    cells = sparse_cells(spark)
+    fit = mrp.fit_mrp(cells, WINDOW_ONLY).persist()
+    draws, accepted = next(mrp.coefficient_draws(fit, 4000, 3, cells, WINDOW_ONLY))
+    plain, _ = next(mrp.coefficient_draws(fit, 4000, 3, None, WINDOW_ONLY))
+    assert draws["cough"].shape == (4000, 2) and accepted["cough"] > 0.5
+    b0, b1 = np.linspace(-8, 2, 401), np.linspace(-2, 2, 401)
+    x = np.repeat(np.arange(7), 2).astype(float)
+    y = np.array([1.0 if v % 5 == 0 else 0.0 for v in x])
+    eta = b0[:, None, None] + b1[None, :, None] * x
+    log_p = (y * eta - 4 * np.logaddexp(0, eta)).sum(axis=2)
+    p = np.exp(log_p - log_p.max())
+    p /= p.sum()
+    for axis, grid, k in ((1, b0, 0), (0, b1, 1)):
+        share = p.sum(axis=axis)
+        mean = (share * grid).sum()
+        sd = math.sqrt((share * (grid - mean) ** 2).sum())
+        got = draws["cough"][:, k]
+        assert abs(got.mean() - mean) < 0.08 * sd and abs(got.std() / sd - 1) < 0.06
+        for q in (0.05, 0.5, 0.95):
+            assert abs(np.quantile(got, q) - np.interp(q, share.cumsum(), grid)) < 0.12 * sd
+    centre = (p.sum(axis=1) * b0).sum()
+    assert abs(plain["cough"][:, 0].mean() - centre) > 2 * abs(draws["cough"][:, 0].mean() - centre)
+
+
+def test_many_symptoms_in_batches(spark, monkeypatch):
+    names = [f"s{i:02d}" for i in range(30)]
+    cells = sparse_cells(spark, names).persist()
+    fit = mrp.fit_mrp(cells, WINDOW_ONLY).persist()
+    assert fit.count() == 30 and fit.filter("converged").count() == 30
+    whole, _ = next(mrp.coefficient_draws(fit, 20, 5, cells, WINDOW_ONLY))
+    monkeypatch.setattr(mrp, "SENT_BYTES", 8 * 220 * 2 * 7)
+    parts = list(mrp.coefficient_draws(fit, 20, 5, cells, WINDOW_ONLY))
+    assert [len(d) for d, _ in parts] == [7, 7, 7, 7, 2]
+    assert all(np.array_equal(whole[s], d[s]) for d, _ in parts for s in d)
+    status = mrp.draw_status(fit, cells, 20, 5, WINDOW_ONLY)
+    assert status.count() == 30 and status.filter("accepted > 0.3 AND distinct_draws > 5").count() == 30
+
+
+def test_fit_that_runs_out_of_iterations_says_so(spark):
+    fit = mrp.fit_mrp(sparse_cells(spark), WINDOW_ONLY, max_iterations=2).first()
+    assert fit["converged"] is False and fit["iterations"] == 2
+    assert mrp.fit_mrp(sparse_cells(spark).limit(0), WINDOW_ONLY).collect() == []

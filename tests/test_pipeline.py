@@ -7,7 +7,7 @@ from symptra.plans.pipeline import Pipeline
 
 TABLES = [
     "demographics", "symptoms", "waves", "participants", "submissions",
-    "prevalence_summary", "prevalence_age_figure", "prevalence_region_figure", "prevalence_nation_figure",
+    "prevalence_status", "prevalence_summary", "prevalence_age_figure", "prevalence_region_figure", "prevalence_nation_figure",
     "impossible_delays", "duration_density", "duration_summary", "mean_duration",
     "duration_variants_summary", "duration_variants_density",
     "incidence_age", "incidence_national", "search_summary", "search_growth",
