@@ -183,13 +183,15 @@ def write_encoded(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
             ids_of: list[bytes] = []
             n = []
             for _, texts in batches(rows):
-                for ids in coder.encode(texts):
-                    ids = np.append(ids, np.uint32(end_id))
-                    if int(ids.max()) >= len(counts):
-                        counts = np.pad(counts, (0, int(ids.max()) + 1 - len(counts)))
-                    counts += np.bincount(ids, minlength=len(counts))
-                    ids_of.append(_narrow(ids))
-                    n.append(len(ids))
+                found = coder.encode(texts)
+                seen = np.bincount(np.concatenate([*found, np.full(len(found), end_id, np.uint32)]))
+                if len(seen) > len(counts):
+                    counts = np.pad(counts, (0, len(seen) - len(counts)))
+                counts[: len(seen)] += seen
+                last = np.array([end_id], np.uint32)
+                for ids in found:
+                    ids_of.append(_narrow(np.concatenate((ids, last))))
+                    n.append(len(ids) + 1)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_of, pa.binary()), pa.nulls(len(n), pa.binary())],
                 names,
