@@ -2,12 +2,13 @@
 
 Fit. Words of labelled documents, and their beginnings of four to seven
 letters, are counted in Spark by class, once per document. The score of such a
-key is its log-odds between the classes under a Dirichlet prior that is
-proportional to the keys' overall counts; of it, only the part beyond the
-uncertainty of the estimate is kept, so rare keys score nothing. A token scores
-as the strongest of its keys, so inflected and unseen words are covered. Every
-token also costs a small drift, which makes the expected score on clean text
-negative, as the theory of maximal segments needs.
+key is its log-odds between the classes under a Dirichlet prior: each key starts
+with ``prior`` observations divided between the classes as all keys are, so rare
+keys stay near zero and a key seen often, but never in clean text, scores high.
+A token scores as the strongest of its keys, so inflected and unseen words are
+covered. Every token also costs a drift. It makes the expected score negative on
+any clean text, also in a language with a few more toxic documents than others,
+as the theory of maximal segments needs; keys scored below it count nothing.
 
 Search. One linear scan finds all maximal segments of a text (Ruzzo and Tompa).
 For text of n tokens the best of them follows an extreme-value law on clean
@@ -107,7 +108,7 @@ class TokenScores(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         get = self.weights.get
         value = self[word] = max((get(k, 0.0) for k in keys_of(word)), key=abs)
@@ -208,9 +209,8 @@ def fit_toxicity(
     label: str = "toxic",
     max_rows: int = 20_000,
     max_keys: int = 200_000,
-    prior: float = 2_000.0,
-    confidence: float = 2.33,
-    drift: float = 0.05,
+    prior: float = 4.0,
+    drift: float = 1.0,
     max_chance: float = 0.05,
 ) -> ToxicityModel:
     """Learn from about ``max_rows`` labelled documents outside the held-out
@@ -232,11 +232,9 @@ def fit_toxicity(
     n0, n1 = clean.sum(), toxic.sum()
     blank = ToxicityModel({}, drift, 1.0, 0.0, max_chance, np.zeros(4), 0.0)
     if n0 and n1:
-        alpha = prior * (clean + toxic) / (n0 + n1)
-        a1, a0 = toxic + alpha, clean + alpha
-        odds = np.log(a1 / (n1 + prior - a1)) - np.log(a0 / (n0 + prior - a0))
-        sure = np.abs(odds) - confidence * np.sqrt(1 / a1 + 1 / a0)
-        score = np.sign(odds) * np.maximum(sure, 0.0)
+        # each key starts with ``prior`` observations divided as all keys are, so rare keys stay near zero
+        score = np.log((toxic + prior * n1 / (n0 + n1)) / (clean + prior * n0 / (n0 + n1))) - math.log(n1 / n0)
+        score = np.where(np.abs(score) < drift, 0.0, score)  # such keys raise no segment
         blank.weights = {w: float(s) for w, s in zip(known["word"], score) if s}
         # the law needs the scores of whole clean texts: the drift alone where no key is known
         share = np.concatenate((clean / n0, [max(1.0, float(clean[score == 0].sum()) / n0)]))

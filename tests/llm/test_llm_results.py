@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import math
 import random
 import zlib
 from collections import Counter
@@ -209,6 +210,36 @@ def held_out_rates(scored, labels, label):
     return rows, np.mean([r["predicted"] == r[label] for r in rows])
 
 
+def test_toxicity_scores_equal_the_formulas(spark):
+    """Counts, scores and evidence of a small table, worked out plainly."""
+    toxic = ["you are scum", "scum and trash", "trash you", "the scum"] * 6
+    clean = ["the sea is calm", "you and the river", "a calm river", "the mill is old"] * 15
+    rows = [(i, f"{t} {i % 7 * 'z'}".strip(), int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    seen = {}
+    for i, text, label in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            seen[text] = max(label, seen.get(text, 0))
+    counts = {}
+    for text, label in seen.items():
+        for key in {k for w in text.split() for k in toxicity.keys_of(w)}:
+            counts.setdefault(key, [0, 0])[label] += 1
+    counts = {k: c for k, c in counts.items() if sum(c) > 1}
+    n0, n1 = (sum(c[y] for c in counts.values()) for y in (0, 1))
+    share = n1 / (n0 + n1)
+    for key, (c, t) in counts.items():
+        score = math.log((t + 4 * share) / (c + 4 * (1 - share))) - math.log(n1 / n0)
+        assert abs(model.weights.get(key, 0.0) - (score if abs(score) >= 1 else 0.0)) < 1e-9
+    assert model.weights["scum"] > 1
+    scores = toxicity.token_scores("the scum are scum and calm", model)
+    best = max(sum(scores[a:b]) for a in range(6) for b in range(a + 1, 7))
+    assert abs(toxicity.best_segment(scores) - best) < 1e-6
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert min(got[i] for i in range(len(toxic))) > max(got[i] for i in range(len(toxic), len(rows)))
+
+
 def test_toxicity_on_held_out_labels(spark, sf_dir):
     # sf0.01 has 51 toxic labels in all, too few to learn from (accuracy 0.883, see the README)
     folder = sf_dir.replace("sf0.001", "sf0.1")
@@ -216,6 +247,9 @@ def test_toxicity_on_held_out_labels(spark, sf_dir):
     model = toxicity.fit_toxicity(docs, labels)
     scored = toxicity.score_toxicity(docs, model).cache()
     rows, right = held_out_rates(scored, labels, "toxic")
+    judged = scored.filter("held_out").join(labels, "doc_id").select("score", "toxic").toPandas()
+    cut = judged.score[judged.toxic == 0].quantile(0.9)
+    assert (judged.score[judged.toxic == 1] > cut).mean() >= 0.9  # at one false alarm in ten
     assert right >= 0.95
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, model).select("doc_id").collect()}
