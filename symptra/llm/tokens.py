@@ -38,6 +38,18 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class Slots(dict):
+    """Word to its number; words are numbered, and listed, when first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        slot = self[key] = len(self)
+        return slot
+
+
 class TokenIds:
     """Ids of texts; one instance per worker process and vocabulary file."""
 
@@ -54,7 +66,7 @@ class TokenIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = Slots()
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
@@ -82,18 +94,18 @@ class TokenIds:
         mapped = key if key.isascii() and key.isalpha() else "".join([self.letters[b] for b in key.encode()])
         return [t.id for t in self.model.tokenize(mapped)]
 
-    def learn(self, keys: list[str]) -> None:
-        new = [k for k in set(keys) if k not in self.slots]
+    def learn(self) -> None:
+        """The ids of the words numbered since the last call."""
+        new = self.slots.new
         if not new:
             return
         found = [self.ids_of(k) for k in new]
         length = np.fromiter(map(len, found), np.int32, len(found))
-        first = len(self.slots)
         start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
         self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32, int(length.sum()))])
         self.start = np.concatenate([self.start, start])
         self.length = np.concatenate([self.length, length])
-        self.slots.update(zip(new, range(first, first + len(new))))
+        self.slots.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of ids for each text."""
@@ -104,8 +116,8 @@ class TokenIds:
             own = self.keys(text) if text else []
             counts.append(len(own))
             keys += own
-        self.learn(keys)
         slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        self.learn()
         length = self.length[slots].astype(np.int64)
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
