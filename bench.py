@@ -56,7 +56,7 @@ def main() -> None:
             out,
             DRAWS,
         )
-        for name in ("prevalence", "duration", "incidence", "search", "comparison", "deconvolution"):
+        for name in stages.STAGES:
             timed(f"stage_{name}_{DRAWS}", getattr(stages, name))
     spark.stop()
     print(
