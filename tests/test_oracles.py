@@ -30,6 +30,8 @@ QUICK = [
     "mean_duration_table",
     "trim_common_support",
     "deconvolve_two_steps",
+    "deconvolution_status",
+    "fit_mrp_window",
     "relative_difference",
     "trend_features",
     "growth_figure_data",
