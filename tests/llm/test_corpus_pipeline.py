@@ -36,4 +36,4 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, sf_dir, tmp_path):
 def test_registered_queries():
     entry = importlib.import_module("__spark_entry__").queries()
     assert "pipeline" in entry
-    assert sorted(int(q[2:].split("_")[0]) for q in entry if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in entry if q.startswith("op")) == list(range(1, 14))
