@@ -7,7 +7,8 @@ form a class at once, by a hash of the set; only classes are joined.
 Join. A set gets a signature of ``SIZE`` minimum hashes; equal values at a place
 are a shared token, with the sets' Jaccard similarity as probability. A run
 samples one place for the root and puts sets with the same value there into one
-bucket. Small buckets are compared by brute force. Larger ones are split again:
+bucket. Buckets that fit into one block (at most ``LIMIT`` sets with ``ELEMENTS``
+members) are compared by brute force. Larger ones are split again:
 every bucket samples ``fanout`` more places by a hash of its path, and its sets
 go to one bucket for each of them. A bucket that splitting would not thin out,
 because its sets agree at most places (the members resemble each other), or
@@ -34,7 +35,8 @@ Cases: null texts, and texts without words, have no set; each such row is a
 class of its own without links. Equal texts, and equal rows, are one class. A
 null doc_id takes part like any other; the class id is the smallest doc_id that
 is not null. Very long texts have large sets, which are hashed piece by piece.
-An empty table gives no rows.
+An empty table gives no rows. Only doc_id and text are read, so other columns
+may have any names; ties do not occur, as nothing is ranked.
 """
 
 from __future__ import annotations
@@ -49,14 +51,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, settled
+from .common import map_arrow, parts, settled, sole_cache
 
 N = 5
 THRESHOLD = 0.8
 SIZE = 128
 FLOOR = 0.62  # five standard errors below the threshold
-LIMIT = 256
-BLOCK = 4096
+LIMIT = 4096  # sets of a bucket, or of a block of a crowd
+SMALL = 256  # buckets that are compared however long their sets are
 ELEMENTS = 1 << 22  # members of the sets of a block, on average at most
 EDGES = 100_000  # in a partition, about
 LEVELS = 3
@@ -122,10 +124,11 @@ def places(path: np.ndarray, count: int, size: int) -> np.ndarray:
 
 
 def class_table(docs: DataFrame, n: int, size: int) -> DataFrame:
-    """(doc_id, set_key, k, sig) of every row; no set: null key."""
+    """(doc_id, text_key, set_key, k, sig) of every row; no set: null key."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sole_cache("chosen_path", _WORDS.clear)
         keys, counts, sigs = [], [], []
         for text in rows.column("text"):
             s = shingles(text.as_py(), n)
@@ -138,11 +141,12 @@ def class_table(docs: DataFrame, n: int, size: int) -> DataFrame:
                 keys.append(None)
                 sigs.append(None)
         return pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())],
-            ["doc_id", "set_key", "k", "sig"],
+            [*rows.columns[:2], pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(sigs, pa.binary())],
+            ["doc_id", "text_key", "set_key", "k", "sig"],
         )
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, set_key string, k long, sig binary")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return map_arrow(texts, run, f"doc_id {kind}, text_key long, set_key string, k long, sig binary")
 
 
 def _digest(data: bytes) -> str:
@@ -339,7 +343,7 @@ def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFr
 
 
 def tasks_of(
-    classes: DataFrame, runs: int, fanout: int, size: int, limit: int, block: int, levels: int, dense: float
+    classes: DataFrame, runs: int, fanout: int, size: int, limit: int, levels: int, dense: float
 ) -> tuple[DataFrame, DataFrame | None]:
     """(bucket, pair, side, before, rep): which sets each brute-force task
     compares; and the crowds, if there are any. ``classes`` has rep, sig and k."""
@@ -352,32 +356,32 @@ def tasks_of(
         paths = level.select("bucket", "before").distinct() if depth else None
         rows = settled(rows)
         sizes = rows.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.first("step").alias("step")
+            F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.first("step").alias("step"), F.sum("k").alias("total")
         )
-        sizes = sizes.filter("n > 1")
+        fits = (F.col("n") <= min(SMALL, limit)) | (F.col("n") <= limit) & (F.col("total") <= ELEMENTS)
+        sizes = sizes.filter("n > 1").withColumn("fits", fits)
         before = _places_before(sizes, paths, count, size)
-        small = before.filter(F.col("n") <= limit)
-        large = settled(before.filter(F.col("n") > limit))
+        small = before.filter("fits")
+        large = settled(before.filter("NOT fits").drop("fits"))
         chosen = rows.select("rep", "bucket").join(small.select("bucket", "before"), "bucket")
         small_tasks = chosen.select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "before", "rep")
         out = small_tasks if out is None else out.unionByName(small_tasks)
         if not large.take(1):
             break
-        sampled = rows.select("rep", "bucket", "k", "step")
+        # rows of small buckets are done with
+        sampled = settled(rows.select("rep", "bucket", "k", "step").join(large, "bucket"))
         if depth == 0:
-            held = settled(_judged(sampled.filter("step = 0").join(large, "bucket"), classes, fanout, size, dense, levels > 1))
+            held = settled(_judged(sampled.filter("step = 0"), classes, fanout, size, dense, levels > 1))
             whole = settled(held.filter("alike").select("rep", "bucket", "n", "k"))
             sampled = sampled.filter("step > 0")
         first = whole.select("rep", F.col("bucket").alias("crowd"), F.col("n").alias("crowd_n"))
         sampled = sampled.join(first, "rep", "left")
         # a bucket whose sets are mostly in one crowd only adds the others to it
-        votes = sampled.filter(F.col("crowd").isNotNull()).groupBy("bucket", "crowd", "crowd_n").agg(F.count(F.lit(1)).alias("c"))
-        joins = settled(votes.join(large.select("bucket", "n"), "bucket").filter("2 * c > n").select("bucket", "crowd", "crowd_n"))
+        votes = sampled.filter(F.col("crowd").isNotNull()).groupBy("bucket", "n", "crowd", "crowd_n").agg(F.count(F.lit(1)).alias("c"))
+        joins = settled(votes.filter("2 * c > n").select("bucket", "crowd", "crowd_n"))
         rest = sampled.drop("crowd_n").join(joins.select("bucket", "crowd"), ["bucket", "crowd"], "left_anti").drop("crowd", "step")
-        added = rest.join(joins, "bucket").select("rep", F.col("crowd").alias("bucket"), F.col("crowd_n").alias("n"), "k")
-        later = _judged(
-            rest.join(large.join(joins, "bucket", "left_anti"), "bucket"), classes, fanout, size, dense, depth < levels - 1
-        )
+        added = rest.drop("n").join(joins, "bucket").select("rep", F.col("crowd").alias("bucket"), F.col("crowd_n").alias("n"), "k")
+        later = _judged(rest.join(joins, "bucket", "left_anti"), classes, fanout, size, dense, depth < levels - 1)
         later = settled(later)
         held = later if depth else held.drop("step").unionByName(later)
         more.append(settled(added.distinct()))
@@ -389,7 +393,7 @@ def tasks_of(
     if whole is None:
         return out, None
     members = settled(crowds(settled(reduce(DataFrame.unionByName, more, whole))))
-    return out.unionByName(_blocked(members, max(limit, block))), members
+    return out.unionByName(_blocked(members, limit)), members
 
 
 def _judged(held: DataFrame, classes: DataFrame, count: int, size: int, dense: float, splits: bool) -> DataFrame:
@@ -429,12 +433,12 @@ def _places_before(sizes: DataFrame, paths: DataFrame | None, count: int, size:
         own = rows.column("_own").to_pylist()
         before = [sorted({*o, *p[:s].tolist()}) for o, p, s in zip(own, at, rows.column("step").to_pylist())]
         return pa.RecordBatch.from_arrays(
-            [rows.column("bucket"), rows.column("n"), pa.array(before, pa.list_(pa.int32()))],
-            ["bucket", "n", "before"],
+            [rows.column("bucket"), rows.column("n"), rows.column("fits"), pa.array(before, pa.list_(pa.int32()))],
+            ["bucket", "n", "fits", "before"],
         )
 
-    shape = "bucket long, n long, before array<int>"
-    return map_arrow(sizes.select("bucket", "n", "parent", "step", "_own"), run, shape)
+    shape = "bucket long, n long, fits boolean, before array<int>"
+    return map_arrow(sizes.select("bucket", "n", "fits", "parent", "step", "_own"), run, shape)
 
 
 def _blocked(members: DataFrame, limit: int) -> DataFrame:
@@ -490,7 +494,6 @@ def jaccard_join(
     n: int = N,
     recall: float = 1 - 1e-6,
     limit: int = LIMIT,
-    block: int = BLOCK,
     levels: int = LEVELS,
     size: int = SIZE,
     floor: float = FLOOR,
@@ -503,12 +506,12 @@ def jaccard_join(
     rows = settled(class_table(docs, n, size))
     named = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62))
     sets = rows.filter("k > 0").groupBy("set_key").agg(
-        F.min(named).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"), F.first("k").alias("k")
+        F.min(F.struct(named.alias("first"), "text_key")).alias("source"), F.count(F.lit(1)).alias("rows"), F.first("sig").alias("sig"), F.first("k").alias("k")
     )
     # a class is known by a hash of its set
     rep = F.xxhash64("set_key")
-    classes = settled(sets.select(rep.alias("rep"), "set_key", "first", "rows", "sig", "k"))
-    tasks, crowded = tasks_of(classes.select("rep", "sig", "k"), runs, runs + SPARE, size, limit, block, levels, dense)
+    classes = settled(sets.select(rep.alias("rep"), "set_key", "source.first", "source.text_key", "rows", "sig", "k"))
+    tasks, crowded = tasks_of(classes.select("rep", "sig", "k"), runs, runs + SPARE, size, limit, levels, dense)
     spread = max(parts(docs.sparkSession), 1)
     compared = classes.select("rep", "rows", "sig")
     if crowded is None:
@@ -517,8 +520,8 @@ def jaccard_join(
         compared = compared.join(crowded.groupBy("rep").agg(F.collect_set("crowd").alias("crowds")), "rep", "left")
     placed = settled(tasks).join(compared, "rep").repartition(spread, "bucket", "pair")
     live = settled(_live(placed.sortWithinPartitions("bucket", "pair", "side", "rep"), size, floor))
-    needed = live.select("rep").distinct().join(classes.select("rep", "set_key", "first"), "rep")
-    texts = _members(docs, rows, needed, n).join(classes.select("rep", "sig"), "rep")
+    needed = live.select("rep").distinct().join(classes.select("rep", "set_key", "first", "text_key"), "rep")
+    texts = _members(docs, needed, n).join(classes.select("rep", "sig"), "rep")
     full = live.join(texts, "rep").repartition(spread, "bucket", "pair").sortWithinPartitions("bucket", "pair", "side", "rep")
     found = settled(_links(full, size, floor, threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -536,13 +539,14 @@ def jaccard_join(
     return out.unionByName(alone)
 
 
-def _members(docs: DataFrame, rows: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+def _members(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(rep, members): the sets of the needed classes, one text each."""
-    sources = needed.select("rep", "set_key", "first")
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62)).alias("first"), "text")
-    found = text.join(sources, "first")
+    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62))
+    text = docs.select(named.alias("first"), F.xxhash64("text").alias("text_key"), "text")
+    found = text.join(needed, ["first", "text_key"])
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sole_cache("chosen_path", _WORDS.clear)
         reps, members = [], []
         for rep, key, t in zip(*(rows.column(c) for c in ("rep", "set_key", "text"))):
             s = shingles(t.as_py(), n).tobytes()

@@ -104,6 +104,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Empty the caches that other operators left in this Python worker, which
+    Spark uses for one stage after the other; ``clear`` empties the caller's."""
+    for name in [n for n in _CACHES if n != owner]:
+        _CACHES.pop(name)()
+    _CACHES[owner] = clear
+
+
+def keep_where(df: DataFrame, column: str, test: Callable[[str], bool], before: Callable[[], None]) -> DataFrame:
+    """Rows whose text passes ``test`` (null is ''), with all columns; only the
+    text is sent to Python. ``before`` runs ahead of each batch."""
+
+    def passed(texts: pa.Array) -> pa.Array:
+        before()
+        return pa.array([bool(test(t.as_py() or "")) for t in texts], pa.bool_())
+
+    # names may clash with nothing: the filter adds no column
+    return df.filter(F.arrow_udf(passed, "boolean")(df[column]))
+
+
 def run_folder(spark: SparkSession) -> str:
     """A new path in the shared folder, for tables written between steps."""
     settled_dir(spark)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled, map_arrow, pieces
+from .common import fold, keep_where, labelled, map_arrow, pieces, sole_cache
 from .toxicity import logistic
 
 THRESHOLD = 0.7
@@ -125,6 +125,7 @@ def fit_quality(
     train = train.withColumn("spare", fold("doc_id", 5) == 0)
 
     def extract(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sole_cache("nbsvm", _HASH.clear)
         packed = [features(t.as_py(), buckets).tobytes() for t in rows.column("text")]
         return pa.RecordBatch.from_arrays(
             [rows.column("doc_id").cast(pa.string()), rows.column("label").cast(pa.int64()), rows.column("spare"), pa.array(packed, pa.binary())],
@@ -180,6 +181,7 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
 
     def score(rows: pa.RecordBatch) -> pa.RecordBatch:
         m = spread.value
+        sole_cache("nbsvm", _HASH.clear)
         s = [quality_of(x.as_py() or "", m) for x in rows.column("text")]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
@@ -196,10 +198,4 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
 def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored at least ``threshold``, with all their columns."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def keep(rows: pa.RecordBatch) -> pa.RecordBatch:
-        m = spread.value
-        return rows.filter(pa.array([quality_of(x.as_py() or "", m) >= threshold for x in rows.column(at)], pa.bool_()))
-
-    return map_arrow(docs, keep, docs.schema)
+    return keep_where(docs, "text", lambda t: quality_of(t, spread.value) >= threshold, lambda: sole_cache("nbsvm", _HASH.clear))

@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from .common import sole_cache
+
 # the splitter this module knows, as the vocabulary file states it
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # the same for lower-case plain text in Python's syntax
@@ -130,6 +132,7 @@ _LOADED: dict[str, TokenIds] = {}
 
 
 def token_ids(path: str) -> TokenIds:
+    sole_cache("tokens", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = TokenIds(path)
     return _LOADED[path]

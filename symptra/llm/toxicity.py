@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fold, labelled, map_arrow, pieces
+from .common import WORD, fold, keep_where, labelled, map_arrow, pieces, sole_cache
 
 THRESHOLD = 0.3
 
@@ -115,6 +115,10 @@ class TokenScores(dict):
         return value
 
 
+def _claim(model: ToxicityModel) -> None:
+    sole_cache("toxicity", lambda: model.scores().clear())
+
+
 def token_scores(text: str, model: ToxicityModel) -> np.ndarray:
     score = model.scores().__getitem__
     runs = [
@@ -285,6 +289,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def score(rows: pa.RecordBatch) -> pa.RecordBatch:
         m = spread.value
+        _claim(m)
         s = [toxicity_of(x.as_py() or "", m) for x in rows.column("text")]
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
@@ -325,10 +330,4 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below ``threshold``, with all their columns."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def keep(rows: pa.RecordBatch) -> pa.RecordBatch:
-        m = spread.value
-        return rows.filter(pa.array([toxicity_of(x.as_py() or "", m) < threshold for x in rows.column(at)], pa.bool_()))
-
-    return map_arrow(docs, keep, docs.schema)
+    return keep_where(docs, "text", lambda t: toxicity_of(t, spread.value) < threshold, lambda: _claim(spread.value))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from symptra.llm import chosen_path, huffman, langid, lmscore, mixing, nbsvm, nndescent, packing, spotsigs, toxicity
+from symptra.llm import common, chosen_path, huffman, langid, lmscore, mixing, nbsvm, nndescent, packing, spotsigs, toxicity
 from symptra.llm.common import run_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -83,7 +83,7 @@ def brute_join(rows, threshold=0.8, n=5):
     return {i: (find(i), links[i]) for i in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 3, "block": 3}, {"limit": 2, "block": 2, "dense": 0.1}, {"limit": 3, "block": 3, "dense": 2.0}, {"limit": 2, "block": 2, "levels": 1}])
+@pytest.mark.parametrize("options", [{}, {"limit": 3}, {"limit": 2, "dense": 0.1}, {"limit": 3, "dense": 2.0}, {"limit": 2, "levels": 1}])
 def test_jaccard_join_equals_brute_force(spark, options):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -91,6 +91,31 @@ def test_jaccard_join_equals_brute_force(spark, options):
     assert found == brute_join(rows)
 
 
+def test_jaccard_join_of_texts_without_ids_or_with_the_same(spark):
+    rows = near_copies(5)
+    named = [(None if i % 3 == 0 else i // 2, t) for i, t in rows]
+    docs = spark.createDataFrame(named, "doc_id long, text string")
+    found = sorted((r["n_links"] for r in chosen_path.jaccard_join(docs).collect()))
+    assert found == sorted(links for _, links in brute_join(rows).values())
+
+
+def test_filters_send_only_the_text_and_keep_all_columns(spark):
+    docs = spark.createDataFrame(
+        [(1, "good", 5), (2, None, 6), (3, "bad words", 7)], "doc_id long, text string, `boolean` int"
+    )
+    kept = common.keep_where(docs, "text", lambda t: "bad" not in t, lambda: None)
+    assert kept.dtypes == docs.dtypes and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [(1, "good", 5), (2, None, 6)]
+
+
+def test_caches_of_other_operators_are_emptied():
+    emptied = []
+    common.sole_cache("a", lambda: emptied.append("a"))
+    common.sole_cache("a", lambda: emptied.append("a"))
+    assert emptied == []
+    common.sole_cache("b", lambda: emptied.append("b"))
+    assert emptied == ["a"]
+
+
 def test_one_of_each_keeps_the_first_of_each_class(spark):
     rows = near_copies(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
