@@ -7,7 +7,7 @@ from .readers import (
     read_search_trends,
     read_submissions,
 )
-from .writers import write_samples, write_table
+from .writers import write_samples, write_snapshot, write_table
 
 __all__ = [
     "read_latest_snapshot",
@@ -16,5 +16,6 @@ __all__ = [
     "read_search_trends",
     "read_submissions",
     "write_samples",
+    "write_snapshot",
     "write_table",
 ]

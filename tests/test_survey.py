@@ -9,7 +9,7 @@ from symptra.functions import columns as C
 from symptra.functions import frames
 from symptra.operators import cohort, prevalence, survey
 from symptra.schema import AGE_GROUPS, ILI_SYMPTOMS, MODELLED_SYMPTOMS, REGIONS
-from symptra.sources import read_latest_snapshot, read_samples, read_search_trends, write_samples
+from symptra.sources import read_latest_snapshot, read_samples, read_search_trends, write_samples, write_snapshot
 
 
 def flags(spark, rows):
@@ -174,6 +174,38 @@ def test_latest_snapshot_and_partitioned_samples(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(symptom" in plan._jdf.queryExecution().toString()
 
 
+def test_only_finished_snapshots_are_read(spark, tmp_path):
+    import pytest
+
+    first, second = str(tmp_path / "s_2"), str(tmp_path / "s_1")
+    rows = spark.range(100).withColumn("part", F.col("id") % 3)
+    write_snapshot(rows, first, ["part"])
+    latest = lambda: read_latest_snapshot(spark, f"{tmp_path}/s_*")
+    assert sorted(map(tuple, latest().select("id", "part").collect())) == [(i, i % 3) for i in range(100)]
+    write_snapshot(spark.range(7).withColumn("part", F.lit(0)), second)
+    assert latest().count() == 7
+    # a stray file of a failed attempt is not part of a snapshot
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "stray"))
+    stray = next((tmp_path / "stray").glob("*.parquet"))
+    (tmp_path / "s_1" / "part-stray.parquet").write_bytes(stray.read_bytes())
+    assert latest().count() == 7
+    # written last, but not committed
+    spark.range(9).write.parquet(str(tmp_path / "s_3"))
+    assert latest().count() == 7
+    # a listed file is cut short: the one before counts
+    next(f for f in (tmp_path / "s_1").glob("part-0*.parquet")).write_bytes(b"")
+    assert latest().count() == 100
+    with pytest.raises(Exception, match="already exists"):
+        write_snapshot(rows, first)
+
+
+def test_a_folder_in_progress_is_no_snapshot(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "p_a"))
+    spark.range(6).write.parquet(str(tmp_path / "p_b"))
+    (tmp_path / "p_b" / "_temporary").mkdir()
+    assert read_latest_snapshot(spark, f"{tmp_path}/p_*").count() == 4
+
+
 def test_search_trend_filter_reaches_the_files(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), "cough", 1.0, "x")], "date date, symptom string, value double, z string")
     df.write.parquet(str(tmp_path / "t"))
