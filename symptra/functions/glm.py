@@ -123,3 +123,26 @@ def normal_draws(mean: np.ndarray, cov: np.ndarray, n: int, rng: np.random.Gener
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     root = vectors * np.sqrt(np.clip(values, 0, None))
     return mean + rng.standard_normal((n, len(mean))) @ root.T
+
+
+SHIFT = 12  # the series below are taken at arguments beyond it
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for positive numbers."""
+    product = sum(np.log(x + i) for i in range(SHIFT))
+    z = x + SHIFT
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - product
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    z = x + SHIFT
+    series = 1 / (2 * z) + 1 / (12 * z**2) - 1 / (120 * z**4) + 1 / (252 * z**6) - 1 / (240 * z**8)
+    return np.log(z) - series - sum(1 / (x + i) for i in range(SHIFT))
+
+
+def trigamma(x: np.ndarray) -> np.ndarray:
+    z = x + SHIFT
+    series = 1 / z + 1 / (2 * z**2) + 1 / (6 * z**3) - 1 / (30 * z**5) + 1 / (42 * z**7) - 1 / (30 * z**9)
+    return series + sum(1 / (x + i) ** 2 for i in range(SHIFT))

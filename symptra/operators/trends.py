@@ -14,10 +14,13 @@ from ..functions.frames import quantile_bands
 from ..functions.glm import (
     GPBasis,
     choose_penalties,
+    digamma,
+    log_gamma,
     normal_draws,
     penalty_diagonal,
     seeded,
     solve_penalised,
+    trigamma,
 )
 from ..schema import BANK_HOLIDAYS, SEARCH_TERMS
 from .compare import bands_with_value
@@ -29,9 +32,11 @@ TREND_LENGTH = 7.0
 BASIS_SIZE = 10
 N_WEEKDAY = 3
 EDGE = 1e-4
+START_PRECISION = 10.0
+PRECISION = (1e-2, 1e6)  # a constant series ends at the upper bound
 FIT_SCHEMA = (
     "symptom string, beta array<double>, cov array<double>, log10_penalty array<double>, "
-    "phi double, edf double, t_max int"
+    "phi double, edf double, t_max int, converged boolean"
 )
 
 
@@ -77,24 +82,20 @@ def _fit_series(pdf: pd.DataFrame) -> pd.DataFrame:
     t_max = int(pdf["t"].max())
     x = _design(pdf["t"].to_numpy(float), pdf["dotw"].to_numpy(float), pdf["is_bank_holiday"].to_numpy(float), t_max)
     count, y = pdf["n"].to_numpy(float), pdf["y"].to_numpy(float)
-    within = pdf["ss"].to_numpy(float)
+    up, down = pdf["log_y"].to_numpy(float), pdf["log_rest"].to_numpy(float)
     _, gp, week, width = _layout(t_max)
     blocks, penalties = [gp, week], [0.0, 0.0]
-    eta, beta, scale = np.log(y / (1 - y)), None, 1.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-eta))
-        v = p * (1 - p)
-        w, z = count * v, eta + (y - p) / v
+    eta, beta, phi, done = np.log(y / (1 - y)), None, START_PRECISION, False
+    for _ in range(100):
+        w, z = _beta_step(eta, phi, count, up - down)
         xw = x * w[:, None]
         gram, rhs, total = xw.T @ x, xw.T @ z, w @ (z * z)
-        penalties = choose_penalties(gram / scale, rhs / scale, total / scale, count.sum(), blocks, penalties, "reml")
+        penalties = choose_penalties(gram, rhs, total, count.sum(), blocks, penalties, "reml")
         penalty = penalty_diagonal(width, blocks, penalties)
-        new, cov, edf = solve_penalised(gram / scale, rhs / scale, penalty)
+        new, cov, edf = solve_penalised(gram, rhs, penalty)
         eta = np.clip(x @ new, -15, 15)
-        p = 1 / (1 + np.exp(-eta))
-        spread = (within + count * (y - p) ** 2) / (p * (1 - p))
-        scale = max(spread.sum() / max(count.sum() - edf, 1.0), 1e-10)
-        done = beta is not None and np.abs(new - beta).max() < 1e-8
+        before, phi = phi, _precision(eta, phi, count, up, down, x, penalty)
+        done = beta is not None and np.abs(new - beta).max() < 1e-6 and abs(np.log(phi / before)) < 1e-4
         beta = new
         if done:
             break
@@ -104,18 +105,59 @@ def _fit_series(pdf: pd.DataFrame) -> pd.DataFrame:
             "beta": [beta.tolist()],
             "cov": [cov.ravel().tolist()],
             "log10_penalty": [[float(v) for v in penalties]],
-            "phi": [1 / scale - 1],
+            "phi": [phi],
             "edf": [edf],
             "t_max": [t_max],
+            "converged": [bool(done)],
         }
     )
 
 
+def _beta_step(eta: np.ndarray, phi: float, count: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fisher weights and working response of a beta likelihood; ``logit`` is a
+    day's mean of log(y / (1 - y))."""
+    p = 1 / (1 + np.exp(-eta))
+    slope = p * (1 - p)
+    curve = trigamma(p * phi) + trigamma((1 - p) * phi)
+    gap = logit - (digamma(p * phi) - digamma((1 - p) * phi))
+    return count * phi**2 * curve * slope**2, eta + gap / (phi * curve * slope)
+
+
+def _precision(eta, phi: float, count, up, down, x: np.ndarray, penalty: np.ndarray) -> float:
+    """The precision that maximises the restricted likelihood at ``eta``, by a
+    golden section over two units of its log to either side."""
+    p = 1 / (1 + np.exp(-eta))
+
+    def value(u: float) -> float:
+        f = np.exp(u)
+        w, _ = _beta_step(eta, f, count, np.zeros_like(eta))
+        fit = log_gamma(np.array(f)) - log_gamma(p * f) - log_gamma((1 - p) * f) + p * f * up + (1 - p) * f * down
+        return float(count @ fit - 0.5 * np.linalg.slogdet((x * w[:, None]).T @ x + np.diag(penalty))[1])
+
+    at = np.log(phi)
+    lo, hi = max(at - 2, np.log(PRECISION[0])), min(at + 2, np.log(PRECISION[1]))
+    ratio = (5**0.5 - 1) / 2
+    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    va, vb = value(a), value(b)
+    while hi - lo > 1e-5:
+        if va < vb:
+            lo, a, va = a, b, vb
+            b = lo + ratio * (hi - lo)
+            vb = value(b)
+        else:
+            hi, b, vb = b, a, va
+            a = hi - ratio * (hi - lo)
+            va = value(a)
+    return float(np.exp((lo + hi) / 2))
+
+
 def fit_trend(features: DataFrame) -> DataFrame:
-    """Smooth beta-type logit regression of value / 100, one per series.
+    """Smooth beta regression of value / 100 with a logit link, one per series:
+    Fisher scoring for the coefficients and a restricted likelihood for the
+    precision ``phi``, in turn; ``converged`` says whether both came to rest.
 
     Series are independent tasks. Each is first reduced to one row per date
-    (count, mean, spread), so a task never holds more than the study days.
+    (count and the means that the likelihood needs), so a task never holds more than the study days.
     """
     y = F.greatest(F.least(F.col("value") / 100, F.lit(1 - EDGE)), F.lit(EDGE))
     days = (
@@ -124,7 +166,8 @@ def fit_trend(features: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg(y).alias("y"),
-            (F.var_pop(y) * F.count(F.lit(1))).alias("ss"),
+            F.avg(F.log(y)).alias("log_y"),
+            F.avg(F.log(1 - y)).alias("log_rest"),
         )
     )
     return days.groupBy("symptom").applyInPandas(_fit_series, FIT_SCHEMA)

@@ -738,7 +738,7 @@ def q_trend_features(s, d):
 
 @query
 def q_fit_trend(s, d):
-    return trends.fit_trend(trend_inputs(s, d)).select("symptom", "phi", "edf", "t_max")
+    return trends.fit_trend(trend_inputs(s, d))
 
 
 @query

@@ -349,3 +349,29 @@ def test_fit_that_runs_out_of_iterations_says_so(spark):
     fit = mrp.fit_mrp(sparse_cells(spark), WINDOW_ONLY, max_iterations=2).first()
     assert fit["converged"] is False and fit["iterations"] == 2
     assert mrp.fit_mrp(sparse_cells(spark).limit(0), WINDOW_ONLY).collect() == []
+
+
+def test_gamma_functions():
+    import math
+
+    from symptra.functions.glm import digamma, log_gamma, trigamma
+
+    x = np.array([1e-3, 0.3, 1.0, 2.5, 40.0, 1e5])
+    assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
+    h = 1e-4 * x
+    assert np.allclose(digamma(x), (log_gamma(x + h) - log_gamma(x - h)) / (2 * h), rtol=1e-5)
+    assert np.allclose(trigamma(x), (digamma(x + h) - digamma(x - h)) / (2 * h), rtol=1e-5)
+    assert abs(trigamma(np.array(1.0)) - np.pi**2 / 6) < 1e-12
+
+
+def test_trend_recovers_the_precision(spark):
+    rng = np.random.default_rng(4)
+    parts = None
+    for name, phi in (("cough", 15.0), ("fever", 150.0)):
+        mean = 1 / (1 + np.exp(-(0.5 * np.sin(np.arange(300) / 25) - 0.8)))
+        y = 100 * rng.beta(mean * phi, (1 - mean) * phi)
+        rows = trend_rows(spark, lambda i: float(y[i]), n=300, symptom=name)
+        parts = rows if parts is None else parts.unionByName(rows)
+    for r in trends.fit_trend(parts).collect():
+        assert r["converged"]
+        assert 0.75 < r["phi"] / {"cough": 15.0, "fever": 150.0}[r["symptom"]] < 1.33, (r["symptom"], r["phi"])
