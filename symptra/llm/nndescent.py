@@ -7,20 +7,30 @@ into leaves, and each leaf finds neighbours among its own. Every NN-descent
 round then joins, at each node, the nodes that are its neighbours or that have
 it as a neighbour (a bounded random choice of the new and the old ones), and
 offers each of them the others that are nearer than its worst neighbour. The
-offers are merged into the lists; rounds go on until few lists change.
+graph is a table of links, so offers are merged by one shuffle and a ranking;
+rounds go on until few links change, at every size of the table.
 
-Search. A query keeps its ``beam`` nearest nodes; each round looks at the
-neighbours, in both directions, of the nearest ones not looked at before, until
-none is left. All queries take their rounds together as Spark joins. A query
-that is in the index starts at its own node; all start at some fixed nodes too.
-The nearest nodes found are measured again in double precision on the original
-vectors.
+Search. A query, a node of the index, keeps its ``beam`` nearest nodes; each
+round looks at the neighbours, in both directions, of the nearest ones not
+looked at before, until none is left or ``moves`` rounds are over. All queries
+take their rounds together as Spark joins. The whole beam is measured again in
+double precision on the original vectors.
+
+For the descent and the search, vectors are divided by the largest component,
+moved to their mean and rounded to 32 bits; distances between them are taken in
+double precision. Differences below 1e-7 of a vector's distance from the mean
+may be lost there, which can change what is found and never what is returned
+for it.
+
+Every step is a table in the shared folder; it goes once its successor stands.
 
 Cases: vectors that are null, all zero, or hold a null or a component that is
-not finite take no part, nor do rows without vec_id; equal distances are ordered
-by vec_id; equal rows are one candidate; a query with fewer candidates than
-asked for gets all of them; empty tables give no rows. All vectors have one
-length.
+not finite take no part, nor do rows without vec_id, nor vectors of another
+length than most (the longer of two equally frequent lengths); equal distances are
+ordered by vec_id; equal rows are one candidate; where rows with different vectors
+share a query's id, the smallest vector asks; a query with fewer candidates than
+asked for gets all of them; empty tables give no rows. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,17 +44,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chosen_path import _groups
-from .common import map_arrow, parts, settled
+from .common import map_arrow, remove, run_folder
 
 NEIGHBOURS = 32
+CHOICE = 14
 SAMPLE = 16_384
 LEAF = 256
 ROOM = 8_192  # nodes of a leaf that one task looks at together
-TREES = 6
-OFFERS = 12
-ROUNDS = 8
-SETTLED = 0.02
-LIST = "node long, ids array<long>, far array<float>, new array<boolean>"
+TREES = 12
+FIRST = 12  # links of a node from one block
+ROUNDS = 6
+SETTLED = 0.1
+LINKS = "node long, id long, far double"
+
+
+class Steps:
+    """Tables of one run, in a folder of their own."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark, self.folder, self.count = df.sparkSession, run_folder(df.sparkSession), 0
+
+    def store(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def forget(self, path: str) -> None:
+        remove(self.spark, path)
 
 
 def usable(vector: Column) -> Column:
@@ -52,28 +79,47 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nodes_of(vectors: DataFrame, vec_id: str, vector: str, keep: int) -> DataFrame:
-    """(node, vec, ids): distinct vectors and the ``keep`` smallest ids of each."""
+def taking_part(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(vec_id, vec, node): the usable rows, whose vectors have one length."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vec")))
+    lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    rows = rows.filter(F.size("vec") == (lengths["length"] if lengths else 0))
     # -0.0 and 0.0 are one value
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).withColumn("node", F.xxhash64("vec"))
+    return rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).withColumn("node", F.xxhash64("vec"))
+
+
+def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
+    """(node, vec, ids): distinct vectors and the ``keep`` smallest ids of each."""
     first = W.partitionBy("node").orderBy("vec_id")
     few = rows.select("node", "vec_id").distinct().withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= keep)
     ids = few.groupBy("node").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most keep
     return rows.groupBy("node").agg(F.first("vec").alias("vec")).join(ids, "node")
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.float32) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, kind).reshape(len(column), -1 if len(column) else 0)
+    return np.frombuffer(raw, np.float32).reshape(len(column), -1 if len(column) else 0)
 
 
 def packed(nodes: DataFrame) -> DataFrame:
-    """(node, v): vectors as bytes of 32-bit floats."""
+    """(node, v): vectors as bytes of 32-bit floats, scaled and centred."""
+    largest = nodes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))))).first()[0] or 1.0
+
+    def read(rows: pa.RecordBatch) -> np.ndarray:
+        column = rows.column("vec")
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) / largest
+
+    def sums(rows: pa.RecordBatch) -> pa.RecordBatch:
+        total = read(rows).sum(axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), rows.num_rows))], ["at", "total", "n"])
+
+    parts = map_arrow(nodes.select("vec"), sums, "at long, total double, n long")
+    # one row per dimension
+    mean = np.array([r["mean"] for r in parts.groupBy("at").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("at").collect()])
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        v = [np.array(x, np.float32).tobytes() for x in rows.column("vec").to_pylist()]
+        v = [x.tobytes() for x in (read(rows) - mean).astype(np.float32)]
         return pa.RecordBatch.from_arrays([rows.column("node"), pa.array(v, pa.binary())], ["node", "v"])
 
     return map_arrow(nodes.select("node", "vec"), run, "node long, v binary")
@@ -102,13 +148,23 @@ def leaves(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> np
     return at
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances between rows."""
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    return np.maximum(d, 0)
+def distances(x: np.ndarray) -> np.ndarray:
+    """Squared distances between rows, which are near each other: moved to their
+    mean, they lose little to cancellation."""
+    x = x.astype(np.float64)
+    x -= x.mean(axis=0)
+    squares = (x * x).sum(axis=1)
+    d = np.maximum(squares[:, None] + squares[None, :] - 2 * (x @ x.T), 0)
+    np.fill_diagonal(d, np.inf)
+    return d
 
 
-def _nearest(x: np.ndarray, ids: np.ndarray, k: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
+def _links(node: list[np.ndarray], ids: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in (node, ids, far)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "id", "far"])
+
+
+def _nearest(x: np.ndarray, k: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
     """(rows, their neighbours' rows, distances), after splitting large sets."""
     stack = [np.arange(len(x))]
     while stack:
@@ -120,37 +176,33 @@ def _nearest(x: np.ndarray, ids: np.ndarray, k: int, rng: np.random.Generator) -
             continue
         if len(own) < 2:
             continue
-        d = distances(x[own], x[own])
-        np.fill_diagonal(d, np.inf)
+        d = distances(x[own])
         m = min(k, len(own) - 1)
         best = np.argpartition(d, m - 1, axis=1)[:, :m]
-        yield own, own[best], np.take_along_axis(d, best, 1)
-
-
-def _lists(node: list, ids: list, far: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(node, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float32()))],
-        ["node", "ids", "far"],
-    )
+        yield np.repeat(own, m), own[best].ravel(), np.take_along_axis(d, best, 1).ravel()
 
 
-def start_graph(points: DataFrame, n: int, k: int, trees: int, seed: int) -> DataFrame:
-    """First lists (node, ids, far, new) from blocks of near points."""
+def start_links(points: DataFrame, n: int, trees: int, seed: int, forest: bool = True) -> DataFrame:
+    """First links (node, id, far) from blocks of near points, or, without a
+    forest, from blocks dealt by chance."""
     share = min(1.0, SAMPLE / max(n, 1))
     sample = points.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) <= int(share * (1 << 30)))
     x = matrix(sample.select("v").toArrow().column("v"))  # about SAMPLE rows
-    depth = max(0, int(np.log2(max(len(x), 1) / 64))) if n > 2 * LEAF else 0
-    depth = min(depth, max(0, int(np.ceil(np.log2(max(n / LEAF, 1))))))
+    depth = min(max(0, int(np.log2(max(len(x), 1) / 64))), max(0, int(np.ceil(np.log2(max(n / LEAF, 1))))))
     rng = np.random.default_rng(seed)
-    forest = [fit_tree(x, depth, rng) for _ in range(trees)] if len(x) else []
-    spread = points.sparkSession.sparkContext.broadcast(forest)
+    spread = points.sparkSession.sparkContext.broadcast([fit_tree(x, depth, rng) for _ in range(trees)] if forest and len(x) else [])
     salts = max(1, round(n / (1 << depth) / ROOM))
 
     def deal(rows: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(rows.column("v"))
         node = rows.column("node").to_numpy()
         salt = (node.view(np.uint64) >> np.uint64(7)) % np.uint64(salts)
-        block = np.concatenate([(t << 40) | (leaves(x, f, depth) << 20) for t, f in enumerate(spread.value)])
+        if forest:
+            at = [leaves(x, f, depth) for f in spread.value]
+        else:
+            bits = [node.view(np.uint64) * np.uint64(2 * t + 3) >> np.uint64(32) for t in range(trees)]
+            at = [(b % np.uint64(1 << depth)).astype(np.int64) for b in bits]
+        block = np.concatenate([(t << 40) | (a << 20) for t, a in enumerate(at)])
         take = pa.array(np.tile(np.arange(len(x)), trees))
         return pa.RecordBatch.from_arrays(
             [pa.array(block | np.tile(salt.astype(np.int64), trees)), rows.column("node").take(take), rows.column("v").take(take)],
@@ -161,217 +213,187 @@ def start_graph(points: DataFrame, n: int, k: int, trees: int, seed: int) -> Dat
         for group in _groups(source, ["block"]):
             x, node = matrix(group.column("v")), group.column("node").to_numpy()
             rng = np.random.default_rng(int(group.column("block")[0].as_py()) & 0xFFFFFFFF)
-            for own, others, d in _nearest(x, node, k, rng):
-                yield _lists(node[own], list(node[others]), list(d))
-
-    dealt = map_arrow(points, deal, "block long, node long, v binary").repartition(parts(points.sparkSession), "block")
-    found = dealt.sortWithinPartitions("block", "node").mapInArrow(near, "node long, ids array<long>, far array<float>")
-    # one list per tree
-    return _merged(found.groupBy("node").agg(F.collect_list(F.struct("ids", "far")).alias("all")).select("node", F.lit(None).cast("struct<ids:array<bigint>,far:array<float>,new:array<boolean>>").alias("old"), "all"), k)
-
-
-def _merged(rows: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of an old list and offers (node, old, all); what was
-    not in the old list is new. ``changed`` counts these."""
-
-    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        ids_out, far_out, new_out, changed = [], [], [], []
-        for node, old, offers in zip(*(rows.column(c).to_pylist() for c in ("node", "old", "all"))):
-            ids = [np.array(o["ids"], np.int64) for o in offers or []]
-            far = [np.array(o["far"], np.float32) for o in offers or []]
-            new = [np.ones(len(i), bool) for i in ids]
-            if old:
-                ids.insert(0, np.array(old["ids"], np.int64))
-                far.insert(0, np.array(old["far"], np.float32))
-                new.insert(0, np.array(old["new"], bool))
-            i, d, fresh = np.concatenate(ids), np.concatenate(far), np.concatenate(new)
-            _, first = np.unique(i, return_index=True)  # the old entry comes first
-            first = first[i[first] != node]
-            best = first[np.lexsort((i[first], d[first]))[:k]]
-            before = len(old["ids"]) if old else 0
-            ids_out.append(i[best])
-            far_out.append(d[best])
-            new_out.append(fresh[best])
-            changed.append(int((best >= before).sum()))
-        names = ["node", "ids", "far", "new", "changed"]
-        columns = [
-            rows.column("node"),
-            pa.array(ids_out, pa.list_(pa.int64())),
-            pa.array(far_out, pa.list_(pa.float32())),
-            pa.array(new_out, pa.list_(pa.bool_())),
-            pa.array(changed, pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    return map_arrow(rows, run, LIST + ", changed long")
-
-
-def descend(graph: DataFrame, points: DataFrame, k: int, choice: int, turn: int) -> DataFrame:
-    """One round of NN-descent: lists after the exchange of neighbours."""
-    hashed = lambda a, b: F.xxhash64(a, b, F.lit(turn))
-    edges = graph.select("node", F.explode(F.arrays_zip("ids", "new")).alias("e")).select(
-        "node", F.col("e.ids").alias("id"), F.col("e.new").alias("new")
-    )
-    # at each node: some of its new and old neighbours; at each neighbour: some that have it
-    by_node = W.partitionBy("node", "new").orderBy(hashed("node", "id"))
-    ahead = edges.withColumn("_k", F.row_number().over(by_node)).filter(F.col("_k") <= choice).drop("_k")
-    by_id = W.partitionBy("id", "new").orderBy(hashed("id", "node"))
-    back = ahead.withColumn("_k", F.row_number().over(by_id)).filter(F.col("_k") <= choice)
+            for own, others, d in _nearest(x, FIRST, rng):
+                yield _links([node[own]], [node[others]], [d])
+
+    dealt = map_arrow(points, deal, "block long, node long, v binary").repartition("block")
+    return dealt.sortWithinPartitions("block", "node").mapInArrow(near, LINKS)
+
+
+def merged(links: DataFrame | None, offers: DataFrame, k: int, choice: int, turn: int) -> DataFrame:
+    """(node, id, far, new, fresh, pick): the ``k`` nearest of links and offers.
+    ``new`` links have not taken part in a round, ``fresh`` ones are of this
+    merge, ``pick`` marks those that take part in the next round."""
+    rows = offers.select("node", "id", "far", F.lit(True).alias("new"), F.lit(True).alias("fresh"))
+    if links is not None:
+        rows = rows.unionByName(links.select("node", "id", "far", (F.col("new") & ~F.col("pick")).alias("new"), F.lit(False).alias("fresh")))
+    # the grouping and both rankings work within the one partitioning by node
+    each = rows.repartition("node").groupBy("node", "id").agg(*[F.min(c).alias(c) for c in ("far", "new", "fresh")])
+    best = each.withColumn("_k", F.row_number().over(W.partitionBy("node").orderBy("far", "id"))).filter(F.col("_k") <= k)
+    by_chance = W.partitionBy("node", "new").orderBy(F.xxhash64("node", "id", F.lit(turn)))
+    return best.withColumn("pick", F.row_number().over(by_chance) <= choice).drop("_k")
+
+
+def _whole(source: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Input sorted by ``key`` in runs that hold all rows of their keys."""
+    held = None
+    for rows in source:
+        if not rows.num_rows:
+            continue
+        run = pa.Table.from_batches([rows])
+        run = run if held is None else pa.concat_tables([held, run])
+        keys = run.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield run.slice(0, cut)
+        held = run.slice(cut)
+    if held is not None:
+        yield held
+
+
+def offered(links: DataFrame, points: DataFrame, k: int, choice: int, turn: int) -> DataFrame:
+    """(node, id, far): one round's exchange of neighbours. At each node meet
+    the picked neighbours and some of the nodes that picked it."""
+    by_id = W.partitionBy("id", "new").orderBy(F.xxhash64("id", "node", F.lit(turn)))
     # a node that very many have as a neighbour joins at some of them in this round
-    ahead = ahead.withColumn("_k", F.row_number().over(by_id)).filter(F.col("_k") <= 8 * choice)
-    members = ahead.select(F.col("node").alias("at"), F.col("id").alias("node"), "new").unionByName(
-        back.select(F.col("id").alias("at"), "node", "new")
-    )
-    members = members.groupBy("at", "node").agg(F.max("new").alias("new"))
-    worst = graph.select(
-        "node", F.when(F.size("ids") < k, F.lit(float("inf"))).otherwise(F.array_max("far")).cast("float").alias("worst")
-    )
-
-    def short(rows: pa.RecordBatch) -> pa.RecordBatch:
-        v = [x.astype(np.float16).tobytes() for x in matrix(rows.column("v"))]
-        return pa.RecordBatch.from_arrays([rows.column("node"), rows.column("worst"), pa.array(v, pa.binary())], ["node", "worst", "v"])
-
-    small = map_arrow(points.join(worst, "node").select("node", "worst", "v"), short, "node long, worst float, v binary")
-    placed = members.join(small, "node").repartition(parts(graph.sparkSession), "at").sortWithinPartitions("at", "node")
+    picked = links.filter("pick").select("node", "id", "new", F.row_number().over(by_id).alias("_k")).filter(F.col("_k") <= 8 * choice)
+    ahead = F.struct(F.col("node").alias("at"), F.col("id").alias("node"), "new")
+    back = F.when(F.col("_k") <= choice, F.struct(F.col("id").alias("at"), F.col("node"), "new"))
+    members = picked.select(F.explode(F.array_compact(F.array(ahead, back))).alias("m")).select("m.*")
+    worst = links.groupBy("node").agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("far")).alias("worst"))
+    placed = members.join(points.join(worst, "node", "left").select("node", "worst", "v"), "node").repartition("at")
 
     def offer(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node_out, ids_out, far_out = [], [], []
-        for group in _groups(source, ["at"]):
-            new = group.column("new").to_numpy()
-            if group.num_rows < 2 or not new.any():
-                continue
-            x = matrix(group.column("v"), np.float16).astype(np.float32)
-            node, worst = group.column("node").to_numpy(), group.column("worst").to_numpy()
-            d = distances(x, x)
-            d[~(new[:, None] | new[None, :])] = np.inf
-            np.fill_diagonal(d, np.inf)
-            d[d >= worst[:, None]] = np.inf
-            for i in np.flatnonzero(np.isfinite(d.min(axis=1))).tolist():
-                use = np.flatnonzero(np.isfinite(d[i]))
-                use = use[np.argsort(d[i, use], kind="stable")[:OFFERS]]
-                node_out.append(node[i])
-                ids_out.append(node[use])
-                far_out.append(d[i, use])
-            if len(node_out) > 4096:
-                yield _lists(node_out, ids_out, far_out)
-                node_out, ids_out, far_out = [], [], []
-        if node_out:
-            yield _lists(node_out, ids_out, far_out)
-
-    offers = placed.mapInArrow(offer, "node long, ids array<long>, far array<float>")
-    # a node gets offers at no more than 9 * choice places
-    gathered = offers.groupBy("node").agg(F.collect_list(F.struct("ids", "far")).alias("all"))
-    looked = ahead.filter("new").select("node", "id").groupBy("node").agg(F.collect_list("id").alias("seen"))  # at most choice
-    old = graph.join(looked, "node", "left").select(
-        "node",
-        F.struct(
-            "ids",
-            "far",
-            # what took part as new in this round is old in the next one
-            F.transform(
-                F.arrays_zip("ids", "new"), lambda e: e["new"] & ~F.coalesce(F.array_contains("seen", e["ids"]), F.lit(False))
-            ).alias("new"),
-        ).alias("old"),
-    )
-    return _merged(old.join(gathered, "node", "left").select("node", "old", "all"), k)
+        for run in _whole(source, "at"):
+            at, node, new = (run.column(c).to_numpy() for c in ("at", "node", "new"))
+            worst = run.column("worst").to_numpy()
+            worst = np.where(np.isnan(worst), np.inf, worst)  # a node without links
+            # a node may come both ways; the new link is first
+            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (node[1:] != node[:-1])])
+            at, node, new, worst = at[first], node[first], new[first].astype(bool), worst[first]
+            x = matrix(run.column("v"))[first]
+            out: tuple[list, list, list] = ([], [], [])
+            cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                fresh = new[lo:hi]
+                if hi - lo < 2 or not fresh.any():
+                    continue
+                d = distances(x[lo:hi])
+                i, j = np.nonzero((fresh[:, None] | fresh[None, :]) & (d < worst[lo:hi, None]))
+                out[0].append(node[lo + i])
+                out[1].append(node[lo + j])
+                out[2].append(d[i, j])
+            if out[0]:
+                yield _links(*out)
+
+    return placed.sortWithinPartitions("at", "node", F.desc("new")).mapInArrow(offer, LINKS)
 
 
 def build_graph(
-    points: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, choice: int = 12, rounds: int = ROUNDS, seed: int = 5
+    points: DataFrame,
+    steps: Steps,
+    k: int = NEIGHBOURS,
+    trees: int = TREES,
+    choice: int = CHOICE,
+    rounds: int = ROUNDS,
+    seed: int = 5,
+    forest: bool = True,
 ) -> DataFrame:
-    """(node, ids, far, new): the graph over points (node, v)."""
+    """(node, id, far, ...): the graph over points (node, v)."""
     n = points.count()
-    graph = settled(start_graph(points, n, k, trees, seed))
-    if n <= 2 * LEAF:
-        return graph  # one block: its lists are exact
-    for turn in range(rounds):
-        graph = settled(descend(graph, points, k, choice, turn))
-        if graph.agg(F.sum("changed")).first()[0] < SETTLED * n * k:
+    links, path = steps.store(merged(None, start_links(points, n, trees, seed, forest), k, choice, 0))
+    for turn in range(1, rounds + 1):
+        after, new_path = steps.store(merged(links, offered(links, points, k, choice, turn), k, choice, turn))
+        steps.forget(path)
+        links, path = after, new_path
+        if links.filter("fresh").count() <= SETTLED * n * k:
             break
-    return graph
+    return links
 
 
 def search(
-    points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = 96, step: int = 12, starts: int = 64
+    points: DataFrame, links: DataFrame, queries: DataFrame, steps: Steps, beam: int = 160, step: int = 160, moves: int = 32
 ) -> DataFrame:
-    """(query, node): the ``beam`` nearest nodes found for queries (query, own,
-    v); ``own`` is the query's node, or null."""
-    links = graph.select("node", F.explode("ids").alias("id"))
-    by_id = W.partitionBy("id").orderBy(F.xxhash64("id", "node"))
-    back = links.withColumn("_k", F.row_number().over(by_id)).filter(F.col("_k") <= NEIGHBOURS).select(F.col("id").alias("node"), F.col("node").alias("id"))
-    around = settled(links.unionByName(back).groupBy("node").agg(F.collect_set("id").alias("ids")))  # at most twice NEIGHBOURS
-    entry = [r["node"] for r in points.select("node").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(starts).collect()]
-    first = F.array_compact(F.concat(F.array(*[F.lit(e) for e in entry]) if entry else F.array().cast("array<long>"), F.array("own")))
-    state = settled(
-        queries.select(
-            "query", "v", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("far"), F.array().cast("array<boolean>").alias("done"), first.alias("next")
+    """(query, node): the nodes found for queries (query, own, v), the query's
+    own node among them."""
+    by_id = W.partitionBy("id").orderBy("far", "node")
+    pairs = links.select("node", "id", F.row_number().over(by_id).alias("_k"))
+    ahead = F.struct(F.col("node"), F.col("id"))
+    back = F.when(F.col("_k") <= NEIGHBOURS, F.struct(F.col("id").alias("node"), F.col("node").alias("id")))
+    both = pairs.select(F.explode(F.array_compact(F.array(ahead, back))).alias("e")).select("e.*")
+    around, _ = steps.store(both.groupBy("node").agg(F.collect_set("id").alias("ids")))  # at most twice NEIGHBOURS
+    known = queries.join(links.select(F.col("node").alias("own"), "id", "far"), "own", "left")
+    known = known.groupBy("query", "own").agg(
+        F.first("v").alias("v"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("far", "id")))).alias("near")
+    )
+    state, path = steps.store(
+        known.select(
+            "query",
+            "own",
+            "v",
+            F.col("near.id").alias("ids"),
+            F.col("near.far").alias("far"),
+            F.transform("near", lambda x, i: i < step).alias("done"),
+            F.slice("near.id", 1, step).alias("next"),
         )
     )
-    shape = "query long, v binary, ids array<long>, far array<float>, done array<boolean>, next array<long>"
+    shape = "query long, own long, v binary, ids array<long>, far array<double>, done array<boolean>, next array<long>"
 
     def move(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(source, ["query"]):
-            kind = np.array([x is not None for x in group.column("ids").to_pylist()])
-            at = int(np.flatnonzero(kind)[0])
-            head = {c: group.column(c)[at].as_py() for c in ("query", "v", "ids", "far", "done")}
-            ids, far, done = np.array(head["ids"], np.int64), np.array(head["far"], np.float32), np.array(head["done"], bool)
-            rest = np.flatnonzero(~kind)
-            if len(rest):
-                node = group.column("cand").take(pa.array(rest)).to_numpy()  # without nulls: whole numbers
-                new = ~np.isin(node, ids)
-                q = np.frombuffer(head["v"], np.float32)
-                if new.any():
-                    x = matrix(group.column("v").take(pa.array(rest[new])))
-                    ids = np.concatenate([ids, node[new]])
-                    far = np.concatenate([far, ((x - q) ** 2).sum(axis=1)])
-                    done = np.concatenate([done, np.zeros(int(new.sum()), bool)])
+            # the query's own row comes first
+            head = {c: group.column(c)[0].as_py() for c in ("query", "own", "v", "ids", "far", "done")}
+            ids, far, done = np.array(head["ids"], np.int64), np.array(head["far"], np.float64), np.array(head["done"], bool)
+            rest = group.slice(1)
+            node = rest.column("cand").to_numpy().astype(np.int64)
+            new = ~np.isin(node, ids) & (node != head["own"])
+            if new.any():
+                x = matrix(rest.column("v").filter(pa.array(new))).astype(np.float64)
+                ids = np.concatenate([ids, node[new]])
+                far = np.concatenate([far, ((x - np.frombuffer(head["v"], np.float32)) ** 2).sum(axis=1)])
+                done = np.concatenate([done, np.zeros(len(x), bool)])
             best = np.lexsort((ids, far))[:beam]
             ids, far, done = ids[best], far[best], done[best]
             ahead = np.flatnonzero(~done)[:step]
             done[ahead] = True
+            lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([far], pa.list_(pa.float64())), pa.array([done], pa.list_(pa.bool_())), pa.array([ids[ahead]], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([head["query"]], pa.int64()),
-                    pa.array([head["v"]], pa.binary()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([far], pa.list_(pa.float32())),
-                    pa.array([done], pa.list_(pa.bool_())),
-                    pa.array([ids[ahead]], pa.list_(pa.int64())),
-                ],
-                ["query", "v", "ids", "far", "done", "next"],
+                [pa.array([head["query"]], pa.int64()), pa.array([head["own"]], pa.int64()), pa.array([head["v"]], pa.binary()), *lists],
+                ["query", "own", "v", "ids", "far", "done", "next"],
             )
 
-    spread = parts(points.sparkSession)
-    look = state.select("query", F.explode("next").alias("cand"))
-    while True:
-        found = look.distinct().join(points.select(F.col("node").alias("cand"), "v"), "cand")
-        rows = state.select("query", "v", "ids", "far", "done", F.lit(None).cast("long").alias("cand")).unionByName(
-            found.select("query", "v", "cand"), allowMissingColumns=True
-        )
-        state = settled(rows.repartition(spread, "query").sortWithinPartitions("query").mapInArrow(move, shape))
-        ahead = state.select("query", F.explode("next").alias("node"))
-        if not ahead.take(1):
-            return state.select("query", F.posexplode("ids").alias("place", "node"))
-        look = ahead.join(around, "node").select("query", F.explode("ids").alias("cand"))
+    for _ in range(moves):
+        look = state.select("query", F.explode("next").alias("node"))
+        look = look.join(around, "node").select("query", F.explode("ids").alias("cand")).distinct()
+        found = look.join(points.select(F.col("node").alias("cand"), "v"), "cand")
+        rows = state.drop("next").withColumn("cand", F.lit(None).cast("long")).unionByName(found.select("query", "v", "cand"), allowMissingColumns=True)
+        after, new_path = steps.store(rows.repartition("query").sortWithinPartitions("query", F.asc_nulls_first("cand")).mapInArrow(move, shape))
+        steps.forget(path)
+        state, path = after, new_path
+        if state.filter(F.size("next") > 0).isEmpty():
+            break
+    return state.select("query", F.explode(F.array_append("ids", F.col("own"))).alias("node"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(
+    vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding", forest: bool = True
+) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id ``every`` divides."""
-    nodes = settled(nodes_of(vectors, vec_id, vector, k + 1))
-    points = settled(packed(nodes))
-    graph = build_graph(points)
-    asked = vectors.filter(F.col(vec_id) % every == 0).select(
-        F.col(vec_id).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vec")
-    )
-    asked = asked.filter(usable(F.col("vec"))).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
-    asked = settled(asked.dropDuplicates(["query"]).withColumn("own", F.xxhash64("vec")))
+    rows = taking_part(vectors, vec_id, vector)
+    steps = Steps(vectors)
+    nodes, _ = steps.store(nodes_of(rows, k + 1))
+    points, _ = steps.store(packed(nodes))
+    links = build_graph(points, steps, rounds=ROUNDS if forest else 4 * ROUNDS, forest=forest)
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query")).agg(F.min("vec").alias("q"))
+    asked, _ = steps.store(asked.withColumn("own", F.xxhash64("q")))
     queries = asked.join(points.select(F.col("node").alias("own"), "v"), "own").select("query", "own", "v")
-    found = search(points, graph, queries).filter(F.col("place") < 3 * k)
-    full = found.join(nodes, "node").join(asked.select("query", F.col("vec").alias("q")), "query")
+    found = search(points, links, queries, steps)
+    full = found.join(nodes, "node").join(asked.select("query", "q"), "query")
     squares = F.zip_with("vec", "q", lambda a, b: (a - b) * (a - b))
     full = full.withColumn("score", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
     each = full.select("query", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query")
-    order = W.partitionBy("query").orderBy("score", "vec_id")  # at most 3 k (k + 1) rows
+    each = each.groupBy("query", "vec_id").agg(F.min("score").alias("score"))  # an id with two vectors is found at the nearer one
+    order = W.partitionBy("query").orderBy("score", "vec_id")  # at most (beam + 1) (k + 1) rows
     return (
         each.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)

@@ -151,10 +151,13 @@ def test_neighbours(spark):
         (300, [0.0, 0.0, 0.0]),
         (400, [1.0, None, 2.0]),
         (500, [1.0, nan, 2.0]),
+        (600, [1.0, 2.0]),
         (None, [1.0, 1.0, 1.0]),
         (31, [1.0, 1.0, 1.0]),
     ]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit(1)).withColumn("v", F.lit(2))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("node", "v", "ids", "far", "query", "own", "vec"):
+        vectors = vectors.withColumn(name, F.lit(1))
     out = nndescent.nearest(vectors).collect()
     assert {r["query_id"] for r in out} == {100}
     first = sorted((r["rank"], r["vec_id"], r["score"]) for r in out)

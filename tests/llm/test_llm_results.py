@@ -303,11 +303,14 @@ def test_dual_descent_separates_the_separable():
 # nearest neighbours
 
 
-def test_neighbours_are_found_and_measured_exactly(spark, sf_dir):
-    vectors = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet")
+@pytest.mark.parametrize("scale, forest", [(1.0, True), (1e-9, True), (1e6, True), (1e22, True), (1.0, False)])
+def test_neighbours_are_found_and_measured_exactly(spark, sf_dir, scale, forest):
+    """2000 vectors: more than a block, so the descent and the search find them."""
+    vectors = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    vectors = vectors.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * scale))
     known = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in vectors.collect()}
     found = {}
-    for r in nndescent.nearest(vectors).collect():
+    for r in nndescent.nearest(vectors, forest=forest).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = total = 0
     assert found.keys() == {i for i in known if i % 100 == 0}
@@ -320,7 +323,7 @@ def test_neighbours_are_found_and_measured_exactly(spark, sf_dir):
         best = heapq.nsmallest(10, ((np.linalg.norm(known[q] - x), v) for v, x in known.items() if v != q))
         hits += len({v for _, v in best} & {v for _, v, _ in rows})
         total += 10
-    assert hits / total >= 0.95
+    assert hits / total >= 0.9
 
 
 # fingerprints
