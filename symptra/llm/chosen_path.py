@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, settled, sole_cache
+from .common import map_arrow, parts, perhaps_in, settled, sole_cache
 
 N = 5
 THRESHOLD = 0.8
@@ -348,13 +348,11 @@ def tasks_of(
     """(bucket, pair, side, before, rep): which sets each brute-force task
     compares; and the crowds, if there are any. ``classes`` has rep, sig and k."""
     level = classes.select("rep", F.lit(0).cast("long").alias("bucket"), F.array().cast("array<int>").alias("before"), "sig", "k")
-    out = whole = None
+    out = whole = paths = None
     more: list[DataFrame] = []
     for depth in range(levels):
         count = runs if depth == 0 else fanout
-        rows = _sampled(level, count, size)
-        paths = level.select("bucket", "before").distinct() if depth else None
-        rows = settled(rows)
+        rows = settled(_sampled(level, count, size))
         sizes = rows.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"), F.first("step").alias("step"), F.sum("k").alias("total")
         )
@@ -389,7 +387,8 @@ def tasks_of(
         split = held.filter("NOT alike").select("rep", "bucket", "before")
         if not split.take(1):
             break
-        level = split.join(classes.select("rep", "sig", "k"), "rep")
+        paths = split.select("bucket", "before").distinct()
+        level = split.join(perhaps_in(classes.select("rep", "sig", "k"), split, "rep"), "rep")
     if whole is None:
         return out, None
     members = settled(crowds(settled(reduce(DataFrame.unionByName, more, whole))))
@@ -402,7 +401,8 @@ def _judged(held: DataFrame, classes: DataFrame, count: int, size: int, dense: f
     if not splits:
         return held.withColumn("alike", F.lit(True))
     held = settled(held)
-    agree = _agreement(held.select("rep", "bucket").join(classes.select("rep", "sig"), "rep"), count, size)
+    sigs = perhaps_in(classes.select("rep", "sig"), held, "rep")
+    agree = _agreement(held.select("rep", "bucket").join(sigs, "rep"), count, size)
     sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     judged = sizes.join(agree, F.col("bucket") == F.col("parent"))
     alike = (F.col("same") >= dense * F.col("_n") * F.col("_n")).alias("alike")
@@ -513,15 +513,17 @@ def jaccard_join(
     classes = settled(sets.select(rep.alias("rep"), "set_key", "source.first", "source.text_key", "rows", "sig", "k"))
     tasks, crowded = tasks_of(classes.select("rep", "sig", "k"), runs, runs + SPARE, size, limit, levels, dense)
     spread = max(parts(docs.sparkSession), 1)
-    compared = classes.select("rep", "rows", "sig")
+    tasks = settled(tasks)
+    compared = perhaps_in(classes.select("rep", "rows", "sig"), tasks, "rep")
     if crowded is None:
         compared = compared.withColumn("crowds", F.lit(None).cast("array<long>"))
     else:
         compared = compared.join(crowded.groupBy("rep").agg(F.collect_set("crowd").alias("crowds")), "rep", "left")
-    placed = settled(tasks).join(compared, "rep").repartition(spread, "bucket", "pair")
+    placed = tasks.join(compared, "rep").repartition(spread, "bucket", "pair")
     live = settled(_live(placed.sortWithinPartitions("bucket", "pair", "side", "rep"), size, floor))
-    needed = live.select("rep").distinct().join(classes.select("rep", "set_key", "first", "text_key"), "rep")
-    texts = _members(docs, needed, n).join(classes.select("rep", "sig"), "rep")
+    used = perhaps_in(classes.select("rep", "set_key", "first", "text_key", "sig"), live, "rep")
+    needed = settled(live.select("rep").distinct().join(used, "rep"))
+    texts = _members(docs, needed.drop("sig"), n).join(needed.select("rep", "sig"), "rep")
     full = live.join(texts, "rep").repartition(spread, "bucket", "pair").sortWithinPartitions("bucket", "pair", "side", "rep")
     found = settled(_links(full, size, floor, threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -543,7 +545,7 @@ def _members(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(rep, members): the sets of the needed classes, one text each."""
     named = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62))
     text = docs.select(named.alias("first"), F.xxhash64("text").alias("text_key"), "text")
-    found = text.join(needed, ["first", "text_key"])
+    found = perhaps_in(text, needed, "first", "text_key").join(needed, ["first", "text_key"])
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         sole_cache("chosen_path", _WORDS.clear)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 20
+BITS = 64  # of a key's bitmap, so that one other key in 64 passes
+MOST = 26  # a bitmap has at most two to this power of bits: 8 MB
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +70,25 @@ def labelled(
     return found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
 
 
+def perhaps_in(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``df`` whose ``columns`` may be among those of ``keys``: all that
+    are, and few others. It goes ahead of a join by these columns, so that the
+    join shuffles little of a wide table where it needs little. The bits of the
+    keys' hashes are broadcast; where the keys are too many for a bitmap of
+    bounded size, more rows pass. ``keys`` is read twice, so it should be
+    stored; the columns have the same types in both."""
+    key = F.xxhash64(*columns)
+    count = keys.agg(F.approx_count_distinct(key)).first()[0]
+    power = math.ceil(math.log2(BITS * max(count, 1)))
+    at = F.pmod(key, F.lit(1 << min(max(power, 15), MOST))) + 1
+    bucket, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    marks = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).repartition("_bucket")
+    bits = marks.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    marked = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return df.join(F.broadcast(bits), (bucket == F.col("_bucket")) & marked, "left_semi")
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """The text, or, where it is very long, parts of it cut at white space."""
     start = 0

@@ -100,6 +100,65 @@ def test_jaccard_join_of_texts_without_ids_or_with_the_same(spark):
     assert found == sorted(links for _, links in brute_join(rows).values())
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of an executed query wrote."""
+
+    def walk(node):
+        name, metrics = node.nodeName(), node.metrics()
+        own = metrics.apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture
+def as_at_size(spark):
+    """Joins as of large tables: Spark neither broadcasts a side nor filters one by itself."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_texts_and_signatures_that_no_pair_needs_are_not_shuffled(spark, as_at_size, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} of these") for i in range(3000)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = common.settled(chosen_path.class_table(docs, 5, 128))
+    classes = common.settled(rows.selectExpr("xxhash64(set_key) rep", "set_key", "doc_id first", "text_key", "sig", "k"))
+    few = spark.createDataFrame([(i,) for i in range(7, 3000, 150)], "first long")  # a filter by values would pass to the texts
+    needed = common.settled(classes.join(few, "first").select("rep", "set_key", "first", "text_key"))
+    found = chosen_path._members(docs, needed, 5)
+    assert {r["rep"] for r in found.collect()} == {r["rep"] for r in needed.collect()} and needed.count() == 20
+    assert 20 < shuffled_rows(found) < 500
+    held = needed.selectExpr("rep", "first % 2 bucket")
+    judged = chosen_path._judged(held, classes, 9, 128, 0.5, True)
+    assert len(judged.collect()) == 20
+    assert shuffled_rows(judged) < 1500  # 9 places of each set, and the sets
+
+
+def test_rows_that_are_perhaps_in_a_table(spark, monkeypatch):
+    df = spark.createDataFrame([(i, str(i % 7), i) for i in range(20_000)] + [(None, "0", -1)], "a long, b string, c long")
+    keys = df.filter("c % 40 = 3").select("a", "b")
+    needed = df.join(keys, ["a", "b"])
+    passed = common.perhaps_in(df, keys, "a", "b")
+    assert passed.columns == df.columns
+    assert needed.count() == 500 and passed.join(keys, ["a", "b"]).count() == 500
+    assert passed.count() < 500 + 20_000 // 32
+    assert common.perhaps_in(df, keys.limit(0), "a", "b").count() == 0
+    assert common.perhaps_in(df, df.unionByName(df), "a", "b").exceptAll(df).count() == 0
+    assert common.perhaps_in(df, df, "a", "b").count() == 20_001
+    monkeypatch.setattr(common, "MOST", 9)  # too few bits: more pass, none is lost
+    crowded = common.perhaps_in(df, keys, "a", "b")
+    assert crowded.count() > passed.count() and crowded.join(keys, ["a", "b"]).count() == 500
+
+
 def test_filters_send_only_the_text_and_keep_all_columns(spark):
     docs = spark.createDataFrame(
         [(1, "good", 5), (2, None, 6), (3, "bad words", 7)], "doc_id long, text string, `boolean` int"
