@@ -1,12 +1,13 @@
 """Token ids of whole texts by the tokenizers library, fast for repeated words.
 
-Text of plain Latin characters is lowered and split as the vocabulary file's
-own splitter does; each distinct word is given to the library's model once per
-worker and then looked up. Where a text has other characters, it is cut at
-white space, which the splitter never crosses, and the parts that are not plain
-take the library's whole pipeline, also once each. Texts with characters that
-Python and the library do not both treat as white space, or neither, are
-encoded whole, and so are all texts if the file's splitter is another one.
+The bytes of a batch of texts are cut, in whole columns, as the vocabulary
+file's own splitter cuts plain ASCII; each distinct word of the batch is looked
+up once, and given to the library's model if the worker has not met it. Where
+text is not plain ASCII, or has an apostrophe or the mark of a special token,
+the part between two ASCII white spaces, which the splitter never crosses, is
+one such word. It is cut by a regular expression if its characters are Latin,
+else it takes the library's whole pipeline, also once each. So do whole texts,
+if the file's splitter is another one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from .common import sole_cache
 
@@ -23,11 +25,24 @@ from .common import sole_cache
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # the same for lower-case plain text in Python's syntax
 WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
-# not plain: unlike white space, characters beyond Latin letters, which may combine
-UNLIKE = re.compile("[\x1c-\x1f]")
+# for the whole pipeline: characters beyond Latin letters, which may combine, and those that Python alone takes for white space
 ODD = re.compile("[\x00\x1c-\x1fİ\u0250-\U0010ffff]")
 SPECIAL = "<|"
 MOST = 1_000_000  # cached words; the cache is emptied beyond
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+
+
+def byte_kinds() -> bytes:
+    """The kind of each byte; those of OTHER are not plain."""
+    kinds = np.full(256, SIGN, np.uint8)
+    kinds[list(b"\t\n\v\f\r ")] = SPACE
+    kinds[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+    kinds[list(b"0123456789")] = DIGIT
+    kinds[[0, *range(0x1C, 0x20), *range(0x80, 0x100), ord("'")]] = OTHER
+    return kinds.tobytes()
+
+
+KINDS = byte_kinds()
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,6 +55,36 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+def cut_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after the other, lower-case where plain, and
+    how many there are in each text."""
+    raw = [t.encode() for t in texts]
+    joined = b"\n".join([*raw, b""])  # so every word ends before white space
+    data, plain = np.frombuffer(joined, np.uint8), np.frombuffer(joined.lower(), np.uint8)  # of bytes: A to Z alone
+    kinds = np.frombuffer(bytearray(joined.translate(KINDS)), np.uint8)
+    other = np.flatnonzero(kinds == OTHER)
+    marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    if len(other) or len(marks):
+        spaces = np.flatnonzero(kinds == SPACE)
+        part = np.unique(np.searchsorted(spaces, np.concatenate([other, marks])))
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[np.concatenate(([0], spaces + 1))[part]] = 1
+        edge[spaces[part]] = -1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+        kinds[inside] = OTHER
+        plain = np.where(inside, data, plain)
+    solid = kinds != SPACE
+    new = kinds == DIGIT  # each digit is a word
+    new[1:] |= kinds[1:] != kinds[:-1]
+    new[:1] = True
+    new &= solid
+    # the white space left out, a word ends where the next one starts
+    start = np.append(np.flatnonzero(new[solid]), np.count_nonzero(solid))
+    words = pa.Array.from_buffers(pa.large_utf8(), len(start) - 1, [None, pa.py_buffer(start), pa.py_buffer(plain[solid])])
+    after = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    return words, np.diff(np.searchsorted(np.flatnonzero(new), after), prepend=0)
+
+
 class Slots(dict):
     """Word to its number; words are numbered, and listed, when first asked for."""
 
@@ -76,50 +121,38 @@ class TokenIds:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def keys(self, text: str) -> list[str]:
-        """Words to look up; a part for the whole pipeline starts with NUL."""
-        if not self.known or UNLIKE.search(text):
-            return ["\0" + text]
-        if not ODD.search(text) and SPECIAL not in text:
-            return WORDS.findall(text.lower())
-        out: list[str] = []
-        for part in text.split():
-            if ODD.search(part) or SPECIAL in part:
-                out.append("\0" + part)
-            else:
-                out += WORDS.findall(part.lower())
-        return out
-
     def ids_of(self, key: str) -> list[int]:
-        if key[0] == "\0":
-            return self.whole(key[1:])
-        mapped = key if key.isascii() and key.isalpha() else "".join([self.letters[b] for b in key.encode()])
-        return [t.id for t in self.model.tokenize(mapped)]
+        if self.known and key.isascii() and key.isalpha():
+            return [t.id for t in self.model.tokenize(key)]
+        if not self.known or ODD.search(key) or SPECIAL in key:
+            return self.whole(key)
+        words = ["".join([self.letters[b] for b in w.encode()]) for w in WORDS.findall(key.lower())]
+        return [t.id for w in words for t in self.model.tokenize(w)]
 
     def learn(self) -> None:
         """The ids of the words numbered since the last call."""
-        new = self.slots.new
-        if not new:
-            return
-        found = [self.ids_of(k) for k in new]
-        length = np.fromiter(map(len, found), np.int32, len(found))
-        start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
-        self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32, int(length.sum()))])
+        flat: list[int] = []
+        ends = []
+        for key in self.slots.new:
+            flat += self.ids_of(key)
+            ends.append(len(flat))
+        length = np.diff(np.array(ends, np.int64), prepend=0)
+        start = len(self.flat) + np.array(ends, np.int64) - length
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
         self.start = np.concatenate([self.start, start])
-        self.length = np.concatenate([self.length, length])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
         self.slots.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of ids for each text."""
         if len(self.slots) > MOST:
             self.clear()
-        keys, counts = [], []
-        for text in texts:
-            own = self.keys(text) if text else []
-            counts.append(len(own))
-            keys += own
-        slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        words, counts = cut_words(texts) if self.known else (pa.array(texts, pa.large_utf8()), np.ones(len(texts), np.int64))
+        distinct = words.dictionary_encode()
+        keys = distinct.dictionary.to_numpy(zero_copy_only=False)
+        own = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
         self.learn()
+        slots = own[distinct.indices.to_numpy()]
         length = self.length[slots].astype(np.int64)
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0

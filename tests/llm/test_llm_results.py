@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from symptra.llm import common, chosen_path, huffman, langid, lmscore, mixing, nbsvm, nndescent, packing, spotsigs, toxicity
+from symptra.llm import common, chosen_path, huffman, langid, lmscore, mixing, nbsvm, nndescent, packing, spotsigs, tokens, toxicity
 from symptra.llm.common import run_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -546,3 +546,39 @@ def test_code_lengths_are_optimal_and_limited():
         assert int((lengths * counts).sum()) == cost
     skewed = huffman.code_lengths(np.array([1 << i for i in range(30)]), 6)
     assert skewed.max() <= 6 and np.sum(0.5**skewed) <= 1
+
+
+# token ids
+
+
+def test_distinct_words_of_a_batch_are_looked_up_once():
+    class Counted(tokens.Slots):
+        calls = 0
+
+        def __getitem__(self, key):
+            self.calls += 1
+            return super().__getitem__(key)
+
+    coder = tokens.TokenIds(VOCABULARY)
+    coder.slots = Counted()
+    texts = ["The cat, the don't and the caf\u00e9 of the CAT " * 50] * 20
+    first = coder.encode(texts)
+    assert coder.slots.calls == len(coder.slots) < 10
+    assert all(np.array_equal(first[0], x) for x in first)
+    assert first[0].tolist() == coder.whole(texts[0])
+
+
+def test_ids_are_those_of_the_library(ids_of):
+    odd = "<| <|endoftext|> |> 's 'RE ''ve don't \x00 \x1c \x1f \x7f \x85 \xa0 \u00e9 \u00df \u0130 \u212a \u03a3 \u0301 \u2003 \u4e2d \u3000 \U0001f600 \xb2".split(" ")
+    plain = list("abtsmdrevlTSMDRELV01_,.<|>'-\"  \t\n\v\f\r")
+    rng = random.Random(7)
+    coder = tokens.TokenIds(VOCABULARY)
+    for turn in range(60):
+        letters = plain + odd if turn % 2 else plain
+        texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 20, 200]))) for _ in range(30)]
+        for text, ids in zip(texts, coder.encode(texts)):
+            assert ids.tolist() == ids_of(text), repr(text)
+    assert coder.encode([]) == []
+    coder.known = False
+    texts = ["", "a b", "\u00e9'S"]
+    assert [x.tolist() for x in coder.encode(texts)] == [ids_of(t) for t in texts]
