@@ -578,6 +578,8 @@ def test_ids_are_those_of_the_library(ids_of):
         texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 20, 200]))) for _ in range(30)]
         for text, ids in zip(texts, coder.encode(texts)):
             assert ids.tolist() == ids_of(text), repr(text)
+    near = [f"{x}{chr(p)}{y}" for p in range(0x80, 0x400) for x, y in (("", ""), ("a", "b"), ("\u00c9", "\u00d1"), ("1 ", "'s"))]
+    assert [x.tolist() for x in coder.encode(near)] == [ids_of(t) for t in near]
     assert coder.encode([]) == []
     coder.known = False
     texts = ["", "a b", "\u00e9'S"]
