@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, parts, perhaps_in, settled, sole_cache
+from .common import map_arrow, map_batches, parts, perhaps_in, settled, sole_cache
 
 N = 5
 THRESHOLD = 0.8
@@ -72,7 +72,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 400_000:  # a cache, so it may be emptied
+        if len(self) > 100_000:  # a cache, so it may be emptied
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -287,7 +287,7 @@ def _live(tasks: DataFrame, size: int, floor: float) -> DataFrame:
                 use = group.take(pa.array(np.flatnonzero(live)))
                 yield from use.drop_columns(["sig"]).combine_chunks().to_batches()
 
-    return tasks.mapInArrow(run, tasks.drop("sig").schema)
+    return map_batches(tasks, run, tasks.drop("sig").schema)
 
 
 def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFrame:
@@ -339,7 +339,7 @@ def _links(live: DataFrame, size: int, floor: float, threshold: float) -> DataFr
                     [pa.array(rep[x]), pa.array(np.zeros(len(x), np.int64)), pa.array(rep[y])], ["rep", "links", "other"]
                 )
 
-    return live.mapInArrow(run, "rep long, links long, other long")
+    return map_batches(live, run, "rep long, links long, other long")
 
 
 def tasks_of(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -11,6 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = 1 << 20
@@ -101,6 +104,16 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table, by way of Arrow. Made of tuples
+    alone, it would start Python workers of another kind, to copy the rows, on
+    the executors, where they stay for a minute."""
+    shape = _parse_datatype_string(schema)
+    kinds = to_arrow_schema(shape)
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds), shape)
+
+
 def batches(rows: pa.RecordBatch, column: str = "text", chars: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of about ``chars`` characters; null is ''."""
     run: list[str] = []
@@ -117,13 +130,43 @@ def batches(rows: pa.RecordBatch, column: str = "text", chars: int = 1 << 22) ->
         yield first, run
 
 
+def _trimmer() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # other C libraries have none
+        return None
+
+
+_TRIM = _trimmer()
+
+
+def release() -> None:
+    """Give freed memory back to the machine. Spark keeps a Python worker for
+    later tasks, and its allocators would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def map_batches(
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """mapInArrow, after which a task's worker gives its memory back."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(source)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in source:
             if rows.num_rows and (out := fn(rows)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 _CACHES: dict[str, Callable[[], None]] = {}
@@ -131,9 +174,13 @@ _CACHES: dict[str, Callable[[], None]] = {}
 
 def sole_cache(owner: str, clear: Callable[[], None]) -> None:
     """Empty the caches that other operators left in this Python worker, which
-    Spark uses for one stage after the other; ``clear`` empties the caller's."""
-    for name in [n for n in _CACHES if n != owner]:
+    Spark uses for one stage after the other, and give their memory back;
+    ``clear`` empties the caller's."""
+    others = [n for n in _CACHES if n != owner]
+    for name in others:
         _CACHES.pop(name)()
+    if others:
+        release()
     _CACHES[owner] = clear
 
 

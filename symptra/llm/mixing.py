@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import local_table, settled
 
 RANGES = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -84,7 +84,7 @@ def source_targets(
         left -= sum(target[i] for i in over)
         open_ = [i for i in open_ if i not in set(over)]
     data = [(s, n, t) for (s, n), t in zip(rows, target)]
-    return spark.createDataFrame(data, "source string, source_size long, target double")
+    return local_table(spark, data, "source string, source_size long, target double")
 
 
 def _placed(df: DataFrame, cuts: DataFrame, size: str, key: str, seed: int, weight: Column) -> DataFrame:
@@ -119,7 +119,7 @@ def sample_cuts(
         expected = r["target"] / r["source_size"] if r["source_size"] else 0.0
         whole = int(expected + 1e-9)  # a share within 1e-9 of a whole number is that number of copies
         rows[r["source"]] = [r["source"], r["source_size"], r["target"], whole, max(expected - whole, 0.0) if expected - whole > 1e-9 else 0.0, None, None, None]
-    first = spark.createDataFrame(list(map(tuple, rows.values())), CUTS)
+    first = local_table(spark, list(map(tuple, rows.values())), CUTS)
     docs = _placed(sizes, first, "size", "key", seed, weight).filter(F.col("_mix_rank").isNotNull())
     by_range = docs.groupBy("source", "_mix_range").agg(
         F.sum("size").alias("_words"), F.first(F.col("_mix_part") * F.col("source_size")).alias("_rest")
@@ -142,7 +142,7 @@ def sample_cuts(
         rows[r["_s"]][5] = r["_e"]
     for r in taken.collect():
         rows[r["source"]][6:] = [r["_last"]["_mix_rank"], r["_last"]["key"]]
-    return spark.createDataFrame(list(map(tuple, rows.values())), CUTS)
+    return local_table(spark, list(map(tuple, rows.values())), CUTS)
 
 
 def with_copies(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, keep_where, labelled, map_arrow, pieces, sole_cache
+from .common import fold, keep_where, labelled, map_arrow, map_batches, pieces, sole_cache
 from .toxicity import logistic
 
 THRESHOLD = 0.7
@@ -37,7 +37,7 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:  # a cache, so it may be emptied
+        if len(self) > 100_000:  # a cache, so it may be emptied
             self.clear()
         value = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return value
@@ -158,7 +158,7 @@ def fit_quality(
 
     packed = map_arrow(train, extract, "doc_id string, label long, spare boolean, row binary")
     # one task: about max_rows rows, whatever the input
-    got = packed.repartition(1).mapInArrow(solve, "w binary, s binary, bias double, coef array<double>").first()
+    got = map_batches(packed.repartition(1), solve, "w binary, s binary, bias double, coef array<double>").first()
     if got is None:
         return {"w": np.zeros(buckets, np.float32), "s": np.zeros(buckets, np.float32), "bias": 0.0, "coef": np.zeros(2), "buckets": buckets}
     return {

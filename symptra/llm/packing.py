@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, map_arrow, parts, settled
+from .common import batches, map_arrow, map_batches, parts, settled
 from .tokens import token_ids
 
 CAPACITY = 2048
@@ -59,7 +59,7 @@ def encode_pieces(
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         coder = token_ids(vocabulary)
         owner, start, length, crc, total = [], [], [], [], []
-        for first, texts in batches(rows):
+        for first, texts in batches(rows, chars=1 << 20):
             for i, ids in enumerate(coder.encode(texts)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 at = 0
@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).combine_chunks().to_batches()
 
     # one task for fewer than k pieces of each class k, a bounded number
-    return whole.unionByName(left.repartition(1).mapInArrow(finish, schema))
+    return whole.unionByName(map_batches(left.repartition(1), finish, schema))
 
 
 def pack_documents(

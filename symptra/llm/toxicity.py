@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fold, keep_where, labelled, map_arrow, pieces, sole_cache
+from .common import WORD, fold, keep_where, labelled, map_arrow, map_batches, pieces, sole_cache
 
 THRESHOLD = 0.3
 
@@ -188,10 +188,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole_cache("toxicity", lambda: None)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def rows() -> Iterator[pa.RecordBatch]:
-        words = list(set(counts[0]) | set(counts[1]))
+        words = [*counts[0], *(w for w in counts[1] if w not in counts[0])]
         if words:
             n = [[c[w] for w in words] for c in counts]
             yield pa.RecordBatch.from_pydict({"word": words, "clean": n[0], "toxic": n[1]})
@@ -222,7 +223,7 @@ def fit_toxicity(
     two documents."""
     train = labelled(docs, labels, label, F.coalesce(fold("doc_id", 4) == 2, F.lit(False)), max_rows)
     counts = (
-        train.mapInArrow(_count, "word string, clean long, toxic long")
+        map_batches(train, _count, "word string, clean long, toxic long")
         .groupBy("word")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
@@ -248,6 +249,7 @@ def fit_toxicity(
 
     def features(rows: pa.RecordBatch) -> pa.RecordBatch:
         m, out = spread.value, []
+        _claim(m)
         for text in rows.column("text").to_pylist():
             s = token_scores(text, m)
             out.append((float(len(s)), best_segment(s) * m.decay))
@@ -266,6 +268,7 @@ def fit_toxicity(
 
         def full(rows: pa.RecordBatch) -> pa.RecordBatch:
             m = again.value
+            _claim(m)
             x = [evidence(token_scores(t, m), m) for t in rows.column("text").to_pylist()]
             a, b, c = zip(*x)
             return pa.RecordBatch.from_pydict({"label": pa.array(rows.column("label").to_pylist(), pa.int64()), "a": a, "b": b, "c": c})
